@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from struct import pack
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +28,8 @@ from pointmill.llm.common import by_slices, text_bytes
 
 #: Fixed value: the mark of a word's last symbol in the vocabulary file.
 END = "</w>"
-#: Encoded words kept by a worker; beyond it the store starts anew, so memory is bounded.
-CACHE = 150_000
+#: Encoded words in each of a worker's two stores, and token borders that it keeps; then the older ones go.
+CACHE, BORDERS = 150_000, 400_000
 
 
 def byte_symbols() -> list[str]:
@@ -88,7 +89,6 @@ class Bpe:
                         break
                     node, until = halves[node][side], rank[node]
                 edge[t] = nodes
-        self.compatible = lru_cache(400_000)(self._compatible)
         self.automaton = ahocorasick.Automaton()
         for t, i in vocab.items():
             if i not in halves or self._sound(i, halves, rank):
@@ -97,6 +97,9 @@ class Bpe:
         self.outside, self.words = _plain_range()
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
+        self.borders: dict[int, bool] = {}
+        self.stand_in = dict(enumerate(self.symbols))
 
     def _compatible(self, a: int, b: int) -> bool:
         """Whether no merge across the border of a and b comes before both sides are complete.
@@ -129,20 +132,33 @@ class Bpe:
 
     def word(self, word: str) -> list[int]:
         """The ids of one word."""
-        s = self.symbols
-        letters = [s[b] for b in word.encode()]
-        letters[-1] = chr(ord(letters[-1]) + self.last)
-        n, compatible = len(letters), self.compatible
-        ends, done = [0] * (n + 1), [-1] * (n + 1)  # by prefix length: its last token, and the length before that token
-        for at, (t, size) in self.automaton.iter("".join(letters)):
-            at += 1
-            if done[at] < 0 and ((before := at - size) == 0 or done[before] >= 0 and compatible(ends[before], t)):
+        letters = word.encode().decode("latin-1").translate(self.stand_in)
+        letters = letters[:-1] + chr(ord(letters[-1]) + self.last)
+        n, known = len(letters), self.borders
+        ends, done = [-1] * n, [-1] * n  # by the place of a prefix's last letter: its last token, and the place before that token
+        for at, (t, size) in self.automaton.iter(letters):
+            if ends[at] < 0:
+                before = at - size
+                if before >= 0:
+                    border = ends[before] << 16 | t
+                    fits = known.get(border)
+                    if fits is None:
+                        fits = self._remember(border)
+                    if not fits:
+                        continue
                 ends[at], done[at] = t, before
-        ids, at = [], n
-        while at > 0:
+        ids, at = [], n - 1
+        while at >= 0:
             ids.append(ends[at])
             at = done[at]
-        return ids[::-1]
+        ids.reverse()
+        return ids
+
+    def _remember(self, border: int) -> bool:
+        if len(self.borders) >= BORDERS:
+            self.borders.clear()
+        fits = self.borders[border] = self._compatible(border >> 16, border & 0xFFFF)
+        return fits
 
     def _pieces(self, text: str) -> Iterator[tuple[bool, str]]:
         """The text in order: (True, special token) or (False, word)."""
@@ -168,19 +184,30 @@ class Bpe:
 
     def encode_text(self, text: str) -> tuple[bytes, str]:
         """The ids as little-endian 32-bit integers, and the decoded text."""
-        known, ids, names = self.known, [], []
-        for special, w in self._pieces(text):
-            got = known.get(w) if not special else (self.special[w].to_bytes(4, "little"), w)
-            if got is None:
-                found = self.word(w)
-                got = (b"".join(i.to_bytes(4, "little") for i in found), " ".join(self.names[i] for i in found))
-                if len(known) >= CACHE:
-                    known.clear()
-                if len(w) <= 64:
-                    known[w] = got
-            ids.append(got[0])
-            names.append(got[1])
-        return b"".join(ids), " ".join(names)
+        if self.cut and self.cut.search(text):
+            found = [self._special(w) if special else self._known(w) for special, w in self._pieces(text)]
+        else:
+            words = self._split(text)
+            found = list(map(self.known.get, words))
+            if None in found:
+                own = self._known
+                found = [g or own(w) for g, w in zip(found, words, strict=True)]
+        return b"".join([g[0] for g in found]), " ".join([g[1] for g in found])
+
+    def _special(self, token: str) -> tuple[bytes, str]:
+        return self.special[token].to_bytes(4, "little"), token
+
+    def _known(self, word: str) -> tuple[bytes, str]:
+        """A word's ids and decoded text from the newer or older half of the store, or else encoded now."""
+        got = self.known.get(word) or self.older.get(word)
+        if got is None:
+            ids = self.word(word)
+            got = (pack(f"<{len(ids)}I", *ids), " ".join([self.names[i] for i in ids]))
+        if len(word) <= 64:
+            if len(self.known) >= CACHE:
+                self.known, self.older = {}, self.known
+            self.known[word] = got
+        return got
 
     def encode(self, text: str) -> list[int]:
         raw = self.encode_text(text)[0]
