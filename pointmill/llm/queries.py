@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointmill.llm import op3_bpe, op5_secrets, op9_sharding, op10_quality
+import corpus_pipeline
+from pointmill.llm import op3_bpe, op4_decontaminate, op5_secrets, op7_lines, op8_simhash, op9_sharding, op10_quality
 from pointmill.llm.common import table
 
 
@@ -30,5 +31,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_quality.assess(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_encode, op5_secret_scan, op9_shard, op10_quality_rules)}
-ORACLES = {"op10_quality_rules": op10_quality.SQL}
+def op4_decontaminate_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_lines.digest(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_simhash.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_bpe_encode, op4_decontaminate_leaks, op5_secret_scan, op7_line_dedup, op8_simhash_dedup, op9_shard, op10_quality_rules)}
+QUERIES["pipeline"] = corpus_pipeline.run
+ORACLES = {"op7_line_dedup": op7_lines.SQL, "op10_quality_rules": op10_quality.SQL}
