@@ -55,20 +55,24 @@ def _random(*parts: np.ndarray | int) -> np.ndarray:
     return x
 
 
-def embed(ids: np.ndarray, repetition: int) -> np.ndarray:
-    """CGK walks over rows of word ids (above 0; 0 stands past the end): 3n symbols for each row."""
+def embed(ids: np.ndarray, times: int) -> np.ndarray:
+    """CGK walks over rows of word ids (above 0; 0 stands past the end): 2n symbols for each repetition and row.
+
+    A walk of 3n steps has mostly left the text in its last third, so that part is not written.
+    """
     m, n = ids.shape
     padded = np.concatenate((ids, np.zeros((m, 1), ids.dtype)), axis=1)
-    at, row, out = np.zeros(m, np.int64), np.arange(m), np.empty((m, 3 * n), ids.dtype)
-    for step in range(3 * n):
+    repetition, row = (x.ravel() for x in np.meshgrid(np.arange(times), np.arange(m), indexing="ij"))
+    at, out = np.zeros(len(row), np.int64), np.empty((len(row), 2 * n), np.int32)
+    for step in range(2 * n):
         symbol = padded[row, at]
         out[:, step] = symbol
         at = np.minimum(at + (_random(repetition, step, symbol) >> np.uint64(63)).astype(np.int64), n)
-    return out
+    return out.reshape(times, m, 2 * n)
 
 
 def drawn_steps(n: int, repetition: int, drawn: int = DRAWN) -> np.ndarray:
-    """The steps that a repetition draws: the walk has mostly left the text near its end, so the first two thirds count."""
+    """The steps that a repetition draws."""
     return np.sort((_random(repetition, np.arange(drawn), 99) % np.uint64(max(1, 2 * n))).astype(np.int64))
 
 
@@ -109,8 +113,9 @@ class Items:
         self.tables: dict[tuple[int, int], dict[bytes, list[int]]] = {}
         for n, own in self.lengths.items():
             rows = np.array([self.items[k][1] for k in own], np.int64)
+            walks = embed(rows, self.times)
             for r in range(self.times):
-                keys = np.ascontiguousarray(embed(rows, r)[:, drawn_steps(n, r)])
+                keys = np.ascontiguousarray(walks[r][:, drawn_steps(n, r)])
                 table = self.tables[n, r] = {}
                 for k, key in zip(own, keys, strict=True):
                     table.setdefault(key.tobytes(), []).append(k)
@@ -136,8 +141,8 @@ class Items:
             hi = np.minimum(start + n + d, total)
             able = (known[hi] - known[start] >= n - d) & (kept[np.maximum(hi - 2, start)] - kept[start] >= n - 2 - 3 * d)
             start = start[able]
-            for at in range(0, len(start), 4096):
-                self._probe(seq, start[at : at + 4096], n, found)
+            for at in range(0, len(start), 512):
+                self._probe(seq, start[at : at + 512], n, found)
         return [(self.items[k][0], *v) for k, v in sorted(found.items())]
 
     def _probe(self, seq: np.ndarray, start: np.ndarray, n: int, found: dict[int, tuple[int, int, int]]) -> None:
@@ -147,8 +152,9 @@ class Items:
         # a word outside of the vocabulary is id 0 like the end of the text; neither equals a word of an item
         rows = np.where(inside, seq[np.clip(place, 0, len(seq) - 1)], 0)
         tried: set[tuple[int, int]] = set()
+        walks = embed(rows, self.times)
         for r in range(self.times):
-            keys = np.ascontiguousarray(embed(rows, r)[:, drawn_steps(n, r)])
+            keys = np.ascontiguousarray(walks[r][:, drawn_steps(n, r)])
             table = self.tables[n, r]
             for s, key in zip(start.tolist(), keys, strict=True):
                 for k in table.get(key.tobytes(), ()):
