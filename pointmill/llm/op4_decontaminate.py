@@ -8,7 +8,8 @@ small Hamming distance. Each repetition draws a few of the steps; windows and it
 candidates, and the number of repetitions follows from the target recall. Candidates are verified by the exact distance.
 
 Windows are embedded only where they can match at all: an item of n words with d edits keeps n - d of its words and
-n - 2 - 3d of its word triples, so a stretch with fewer of any item's words or triples is left out without loss.
+n - 2 - 3d of its word triples, so a stretch with fewer of the item's triples is left out without loss; for items too
+short for that, a stretch with fewer of any item's words.
 """
 
 from __future__ import annotations
@@ -71,6 +72,7 @@ def embed(ids: np.ndarray, times: int) -> np.ndarray:
     return out.reshape(times, m, 2 * n)
 
 
+@lru_cache(100_000)
 def drawn_steps(n: int, repetition: int, drawn: int = DRAWN) -> np.ndarray:
     """The steps that a repetition draws."""
     return np.sort((_random(repetition, np.arange(drawn), 99) % np.uint64(max(1, 2 * n))).astype(np.int64))
@@ -106,7 +108,19 @@ class Items:
             if w:
                 self.items.append((item_id, w))
         self.times = repetitions(recall)
-        self.triples = np.unique(np.concatenate([np.zeros(0, np.int64), *(triples(np.array(w, np.int64)) for _, w in self.items)]))
+        held: dict[int, set[int]] = {}
+        for k, (_, w) in enumerate(self.items):
+            for x in triples(np.array(w, np.int64)).tolist():
+                held.setdefault(x, set()).add(k)
+        # sorted triples, and for each the items that hold it
+        self.triples = np.array(sorted(held), np.int64)
+        self.holders = [np.array(sorted(held[x]), np.int64) for x in self.triples.tolist()]
+        self.held = np.array([len(x) for x in self.holders], np.int64)
+        self.flat = np.concatenate([np.zeros(0, np.int64), *self.holders])
+        self.first = np.cumsum(self.held) - self.held
+        size = np.array([len(w) for _, w in self.items], np.int64)
+        edits = np.array([most_edits(n) for n in size.tolist()], np.int64)
+        self.needed = size - 2 - 3 * edits
         self.lengths: dict[int, list[int]] = {}
         for k, (_, w) in enumerate(self.items):
             self.lengths.setdefault(len(w), []).append(k)
@@ -128,39 +142,57 @@ class Items:
         known = np.concatenate(([0], np.cumsum(seq > 0)))
         if not known[-1]:
             return []
-        total = len(seq)
-        kept = np.zeros(total, np.int64)
-        kept[: max(0, total - 2)] = np.isin(triples(seq), self.triples)
-        kept = np.concatenate(([0], np.cumsum(kept)))
-        for n in self.lengths:
-            d = most_edits(n)
-            if known[-1] < n - d or kept[-1] < n - 2 - 3 * d:
-                continue
-            # a match that starts at a word ends n + d words further on at most
-            start = np.arange(max(total - n + d, 0) + 1)
-            hi = np.minimum(start + n + d, total)
-            able = (known[hi] - known[start] >= n - d) & (kept[np.maximum(hi - 2, start)] - kept[start] >= n - 2 - 3 * d)
-            start = start[able]
-            for at in range(0, len(start), 512):
-                self._probe(seq, start[at : at + 512], n, found)
+        for n, starts in self._able(seq, known).items():
+            for at in range(0, len(starts), 512):
+                self._probe(seq, starts[at : at + 512], n, found)
         return [(self.items[k][0], *v) for k, v in sorted(found.items())]
 
+    def _able(self, seq: np.ndarray, known: np.ndarray) -> dict[int, np.ndarray]:
+        """For each length of items the starts of windows that hold enough of one item's triples."""
+        total, able = len(seq), {}
+        for n in self.lengths:
+            if n - 2 - 3 * most_edits(n) < 1 and known[-1] >= n - most_edits(n):
+                start = np.arange(max(total - n + most_edits(n), 0) + 1)
+                start = start[known[np.minimum(start + n + most_edits(n), total)] - known[start] >= n - most_edits(n)]
+                able.setdefault(n, []).append(start)
+        if total > 2 and len(self.triples):
+            own = triples(seq)
+            at = np.minimum(np.searchsorted(self.triples, own), len(self.triples) - 1)
+            place = np.flatnonzero(self.triples[at] == own)
+            at = at[place]
+            times = self.held[at]
+            inner = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            item, place = self.flat[np.repeat(self.first[at], times) + inner], np.repeat(place, times)
+            enough = np.bincount(item, minlength=len(self.items)) >= self.needed
+            for k in np.flatnonzero(enough & (self.needed > 0)).tolist():
+                n, need = len(self.items[k][1]), int(self.needed[k])
+                d, hits = most_edits(n), place[item == k]
+                # a window of n + d words that holds `need` hits in a row starts at the first of them or up to so far before
+                tight = hits[need - 1 :] - hits[: len(hits) - need + 1] + 3 <= n + d
+                high, low = hits[: len(hits) - need + 1][tight], np.maximum(hits[need - 1 :][tight] + 3 - n - d, 0)
+                if len(high):
+                    count = high - low + 1
+                    inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                    able.setdefault(n, []).append(np.repeat(low, count) + inner)
+        return {n: np.unique(np.concatenate(x)) for n, x in able.items()}
+
     def _probe(self, seq: np.ndarray, start: np.ndarray, n: int, found: dict[int, tuple[int, int, int]]) -> None:
         d = most_edits(n)
         place = start[:, None] + np.arange(n)[None, :]
         inside = (place >= 0) & (place < len(seq))
         # a word outside of the vocabulary is id 0 like the end of the text; neither equals a word of an item
         rows = np.where(inside, seq[np.clip(place, 0, len(seq) - 1)], 0)
-        tried: set[tuple[int, int]] = set()
+        tried: dict[int, list[int]] = {}
         walks = embed(rows, self.times)
         for r in range(self.times):
             keys = np.ascontiguousarray(walks[r][:, drawn_steps(n, r)])
             table = self.tables[n, r]
             for s, key in zip(start.tolist(), keys, strict=True):
                 for k in table.get(key.tobytes(), ()):
-                    if (k, s) in tried or found.get(k, (d + 1,))[0] == 0:
+                    # a start within d words was verified over a stretch that holds this one's match as well
+                    if found.get(k, (d + 1,))[0] == 0 or any(abs(s - x) <= d for x in tried.get(k, ())):
                         continue
-                    tried.add((k, s))
+                    tried.setdefault(k, []).append(s)
                     lo, hi = max(0, s - 2 * d), min(len(seq), s + n + 2 * d)
                     edits, end = distance(self.items[k][1], seq[lo:hi].tolist())
                     if edits <= d and edits < found.get(k, (d + 1,))[0]:
