@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pointmill.llm import op3_bpe, op4_decontaminate, op5_secrets, op7_lines, op8_simhash, op9_sharding, op10_quality
+from pointmill.llm import op1_quality, op2_toxicity, op3_bpe, op4_decontaminate, op5_secrets, op6_substrings, op7_lines, op8_simhash, op9_sharding, op10_quality
 from pointmill.llm.common import table
 
 
@@ -15,6 +15,18 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_toxicity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_substrings.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), digest=True)
 
@@ -43,6 +55,6 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_simhash.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_encode, op4_decontaminate_leaks, op5_secret_scan, op7_line_dedup, op8_simhash_dedup, op9_shard, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_quality_score, op2_toxicity_score, op3_bpe_encode, op4_decontaminate_leaks, op5_secret_scan, op6_substring_dedup, op7_line_dedup, op8_simhash_dedup, op9_shard, op10_quality_rules)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {"op7_line_dedup": op7_lines.SQL, "op10_quality_rules": op10_quality.SQL}
