@@ -7,7 +7,8 @@ of the least rank; equal strings have equal anchors at equal offsets. The starts
 
 1. units are ranked by their whole span: if a span occurs twice, all its starts repeat;
 2. one of each kind of unit is ranked by the SIDE bytes before and after the anchor: a repeated string reaches that far to
-   one side at least, so a unit that is alone on both sides has no other repeats and leaves;
+   one side at least, so a unit that is alone on both sides has no other repeats and leaves, and one that is alone on one
+   side keeps the starts that don't reach so far there;
 3. what is left is ranked start by start at the full LENGTH.
 
 Ranks are hashes, so that no global order is needed; those that decide a removal have 128 bits. Each round keeps counts,
@@ -76,8 +77,8 @@ def _unit_rows(length: int, anchor: int):  # noqa: ANN202
                 u, v = _two(xxhash.xxh3_128_intdigest(text[s : e + length], p - s))
                 left = xxhash.xxh64_intdigest(text[p - side : p + anchor], 1) - (1 << 63) if p - side >= s else None
                 right = xxhash.xxh64_intdigest(text[p : p + anchor + side], 2) - (1 << 63) if p + anchor + side <= e + length else None
-                out.append((i, mark, s, e, u, v, left, right))
-        return [list(c) for c in zip(*out, strict=True)] if out else [[]] * 8
+                out.append((i, mark, s, e, p, u, v, left, right))
+        return [list(c) for c in zip(*out, strict=True)] if out else [[]] * 9
 
     return work
 
@@ -125,14 +126,18 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), text_bytes().alias("text"))
     # a row is known by its id and its text: equal rows have equal spans
-    kind = _schema(doc_id="l", mark="l", s="l", e="l", u="l", v="l", left="l", right="l")
-    every = written(rows.where(F.length("text") >= length).mapInArrow(by_slices(_unit_rows(length, anchor), kind), "doc_id long, mark long, s long, e long, u long, v long, left long, right long"), "units")
-    kinds = every.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "mark", "s", "e", "left", "right")).alias("one"))
+    kind = _schema(doc_id="l", mark="l", s="l", e="l", p="l", u="l", v="l", left="l", right="l")
+    every = written(rows.where(F.length("text") >= length).mapInArrow(by_slices(_unit_rows(length, anchor), kind), "doc_id long, mark long, s long, e long, p long, u long, v long, left long, right long"), "units")
+    kinds = every.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "mark", "s", "e", "p", "left", "right")).alias("one"))
     kinds = written(kinds.select("u", "v", (F.col("n") == 1).alias("single"), "one.*"), "kinds")
-    sides = kinds.select("u", "v", F.explode(F.array("left", "right")).alias("side")).where(F.col("side").isNotNull())
+    sides = kinds.select("u", "v", F.posexplode(F.array("left", "right")).alias("after", "side")).where(F.col("side").isNotNull())
     shared = sides.groupBy("side").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("side")
-    alive = sides.join(shared, "side").select("u", "v").distinct()
-    todo = kinds.join(alive, ["u", "v"], "left_semi").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("s", "e", "single")).alias("own"))
+    alive = sides.join(shared, "side").groupBy("u", "v").agg(F.min("after").alias("least"), F.max("after").alias("most"))
+    # a start `side` bytes before the anchor or more reaches far to the left, a later one, or that very one, to the right
+    turn = F.col("p") - (length - anchor) // 2
+    lo = F.when(F.col("least") == 0, F.col("s")).otherwise(F.greatest("s", turn - (length - anchor) % 2))
+    hi = F.when(F.col("most") == 1, F.col("e")).otherwise(F.least("e", turn))
+    todo = kinds.join(alive, ["u", "v"]).groupBy("doc_id", "mark").agg(F.collect_list(F.struct(lo.alias("s"), hi.alias("e"), "single")).alias("own"))
     todo = todo.select(F.col("doc_id").alias("i"), F.col("mark").alias("m"), "own")
     texts = rows.join(todo, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))).select("doc_id", "mark", "text", "own")
     kind = _schema(doc_id="l", mark="l", s="l", single="b", u="l", v="l")
