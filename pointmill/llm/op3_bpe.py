@@ -29,7 +29,7 @@ from pointmill.llm.common import by_slices, text_bytes
 #: Fixed value: the mark of a word's last symbol in the vocabulary file.
 END = "</w>"
 #: Encoded words in each of a worker's two stores, and token borders that it keeps; then the older ones go.
-CACHE, BORDERS = 150_000, 400_000
+CACHE, BORDERS = 50_000, 100_000
 
 
 def byte_symbols() -> list[str]:
@@ -77,21 +77,10 @@ class Bpe:
             self.pairs.setdefault(pair, k)
             if whole not in halves:
                 halves[whole], rank[whole] = pair, k
-        far = len(merges) + 1
-        # for each token: the nodes down its right (left) edge, each with the rank at which the next node above takes it
-        self.right, self.left = {}, {}
-        for t in vocab.values():
-            for side, edge in ((1, self.right), (0, self.left)):
-                nodes, node, until = [], t, far
-                while True:
-                    nodes.append((node, until))
-                    if node not in halves:
-                        break
-                    node, until = halves[node][side], rank[node]
-                edge[t] = nodes
+        self.halves, self.rank, self.far = halves, rank, len(merges) + 1
         self.automaton = ahocorasick.Automaton()
         for t, i in vocab.items():
-            if i not in halves or self._sound(i, halves, rank):
+            if i not in halves or self._sound(i):
                 self.automaton.add_word(w := letters(t), (i, len(w)))
         self.automaton.make_automaton()
         self.outside, self.words = _plain_range()
@@ -101,29 +90,38 @@ class Bpe:
         self.borders: dict[int, bool] = {}
         self.stand_in = dict(enumerate(self.symbols))
 
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The nodes down the token's left (0) or right (1) edge, each with the rank at which the next node above takes it."""
+        nodes, node, until = [], token, self.far
+        while True:
+            nodes.append((node, until))
+            if node not in self.halves:
+                return nodes
+            node, until = self.halves[node][side], self.rank[node]
+
     def _compatible(self, a: int, b: int) -> bool:
         """Whether no merge across the border of a and b comes before both sides are complete.
 
         At equal ranks the pair further left goes first: that is a's own merge, but not b's.
         """
-        pairs = self.pairs
-        for x, x_until in self.right[a]:
-            for y, y_until in self.left[b]:
+        pairs, right = self.pairs, self._edge(b, 0)
+        for x, x_until in self._edge(a, 1):
+            for y, y_until in right:
                 k = pairs.get((x, y))
                 if k is not None and k < x_until and k <= y_until:
                     return False
         return True
 
-    def _sound(self, t: int, halves: dict, rank: dict) -> bool:
+    def _sound(self, t: int) -> bool:
         """Whether the token's own letters encode to it: at each border in its tree no other merge comes first."""
-        todo = [t]
+        halves, rank, todo = self.halves, self.rank, [t]
         while todo:
             x = todo.pop()
             if x not in halves:
                 continue
             a, b = halves[x]
-            for p, p_until in self.right[a]:
-                for q, q_until in self.left[b]:
+            for p, p_until in self._edge(a, 1):
+                for q, q_until in self._edge(b, 0):
                     k = self.pairs.get((p, q))
                     if k is not None and (p, q) != (a, b) and k < min(p_until, rank[x]) and k <= min(q_until, rank[x]):
                         return False
