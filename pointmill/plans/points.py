@@ -10,7 +10,10 @@ SCALE, CHUNK = 0.01, 500
 
 POINTS_SQL = """WITH points AS (SELECT event_id AS point_index, CAST(round(value * 100) AS INT) AS x, user_id * 1000 + event_id % 997 AS y,
 event_id % 5003 - 2500 AS z, (event_id * 7919) % 65536 AS intensity, 1 + event_id % 5 AS return_number,
-1 + (event_id * 3) % 5 AS number_of_returns, user_id AS point_source_id FROM events) """
+1 + (event_id * 3) % 5 AS number_of_returns, user_id AS point_source_id,
+CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 7 WHEN 'purchase' THEN 6 WHEN 'signup' THEN 2 ELSE 5 END AS classification,
+event_id * CAST(0.001 AS DOUBLE) AS gps_time, (event_id * 31) % 65536 AS red, (event_id * 37) % 65536 AS green, (event_id * 41) % 65536 AS blue,
+(event_id * 43) % 65536 AS nir FROM events) """
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +21,8 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(
         e.alias("point_index"), F.round(F.col("value") * 100).cast("int").alias("x"), (F.col("user_id") * 1000 + e % 997).alias("y"), (e % 5003 - 2500).alias("z"),
         ((e * 7919) % 65536).alias("intensity"), (1 + e % 5).alias("return_number"), (1 + (e * 3) % 5).alias("number_of_returns"), F.col("user_id").alias("point_source_id"),
+        F.expr("CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 7 WHEN 'purchase' THEN 6 WHEN 'signup' THEN 2 ELSE 5 END").alias("classification"),
+        (e * F.lit(0.001)).alias("gps_time"), *(((e * k) % 65536).alias(c) for c, k in (("red", 31), ("green", 37), ("blue", 41), ("nir", 43))),
     )
 
 

@@ -1,16 +1,53 @@
 import duckdb
 import pytest
 
-from pointmill.plans import points
+from pointmill.functions import columns
+from pointmill.operators import intervals, quadtree
+from pointmill.plans import points, spatial
 
 SF = "/root/testdata/sf0.001"
+QUERIES, ORACLES = {**points.QUERIES, **spatial.QUERIES}, {**points.ORACLES, **spatial.ORACLES}
 
 
-@pytest.mark.parametrize("name", sorted(points.QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
-    df = points.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
     cols = ", ".join(sorted(df.columns))
-    want = con.sql(f"SELECT {cols} FROM ({points.ORACLES[name]})").fetchall()
-    assert sorted(map(tuple, df.select(*sorted(df.columns)).collect())) == sorted(want)
+    want = con.sql(f"SELECT {cols} FROM ({ORACLES[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, df.select(*sorted(df.columns)).collect()))) == sorted(map(repr, want))
+
+
+MEDIANS = [  # values in order and the median after each
+    (list(range(1, 11)), [0, 0, 1, 2, 3, 4, 5, 6, 7, 8]),
+    (list(range(10, 0, -1)), [0, 0, 8, 8, 7, 6, 5, 4, 3, 2]),
+    ([3] * 10, [0, 0] + [3] * 8),
+    ([-1, -2, -3, -4, -5, -6, -7, 8, 9, 10], [0, 0, -1, -2, -3, -4, -5, -5, -4, 8]),
+]
+
+
+def test_streaming_median(spark):
+    rows = spark.createDataFrame([(k, v) for k, (v, _) in enumerate(MEDIANS)], "k int, v array<long>")
+    got = {r.k: r.m for r in rows.select("k", columns.streaming_median("v").alias("m")).collect()}
+    assert [got[k] for k in range(len(MEDIANS))] == [w for _, w in MEDIANS]
+
+
+def test_runs_over_block_borders(spark):
+    rows = [(i, c) for i, c in enumerate([1, 1, 1, 2, 2, 1, 1, 1, 1, 1, 3, 1])]
+    found = intervals.runs(spark.createDataFrame(rows, "point_index long, cell long"), block=4)
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 2), (1, 5, 9), (1, 11, 11), (2, 3, 4), (3, 10, 10)]
+
+
+def test_cells_and_bounds(spark):
+    box = quadtree.Box(0.0, 0.0, 40.0, 40.0)
+    rows = spark.createDataFrame([(30.0, 10.0), (10.0, 30.0), (-5.0, 50.0)], "x double, y double")
+    assert [r.c for r in rows.select(quadtree.cell("x", "y", box, 1).alias("c")).collect()] == [2, 3, 3]
+    assert quadtree.levels_for(box, 10.0) == 2 and quadtree.levels_for(None) == 4
+    top = spark.range(3, 4).select(quadtree.cell_bounds("id", box).alias("b")).first().b
+    assert tuple(top) == (0.0, 20.0, 20.0, 40.0)
+
+
+def test_empty_index(spark):
+    none = spark.createDataFrame([], "point_index long, cell long")
+    assert intervals.runs(none).count() == intervals.reordered(none).count() == 0
