@@ -3,10 +3,10 @@ import pytest
 
 from pointmill.functions import columns
 from pointmill.operators import intervals, quadtree
-from pointmill.plans import points, spatial
+from pointmill.plans import files, points, spatial
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = {**points.QUERIES, **spatial.QUERIES}, {**points.ORACLES, **spatial.ORACLES}
+QUERIES, ORACLES = {**points.QUERIES, **spatial.QUERIES, **files.QUERIES}, {**points.ORACLES, **spatial.ORACLES, **files.ORACLES}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
