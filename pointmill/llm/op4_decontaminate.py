@@ -5,7 +5,8 @@ the item: a fifth of the item's words at most, insertions, deletions and changes
 windows of the item's length over the document. A CGK walk embeds a window: at each of 3n steps it writes the current
 word and moves on or stays by a random bit that belongs to the step and the word, so a small edit distance becomes a
 small Hamming distance. Each repetition draws a few of the steps; windows and items that agree in all of them are
-candidates, and the number of repetitions follows from the target recall. Candidates are verified by the exact distance.
+candidates, verified by the exact distance. The Hamming share of a match grows with the number of edits, so the number of
+repetitions follows from the target recall by item length, from walks over pairs of most_edits(n) edits each.
 
 Windows are embedded only where they can match at all: an item of n words with d edits keeps n - d of its words and
 n - 2 - 3d of its word triples, so a stretch with fewer of the item's triples is left out without loss; for items too
@@ -14,8 +15,8 @@ short for that, a stretch with fewer of any item's words.
 
 from __future__ import annotations
 
-import math
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from pointmill.llm.common import by_slices, text_bytes
 
 EDITS, RECALL = 0.2, 0.995
-#: Steps drawn in a repetition; the Hamming share of a match for which the target recall is reckoned.
-DRAWN, SHARE = 3, 0.5
+#: Steps drawn in a repetition; fewer are drawn for lengths that would need more than TIMES repetitions.
+DRAWN, TIMES = 3, 64
+#: Pairs of an item and its edited copy, and walks over each, from which repetitions are reckoned; symbols embedded at once.
+PAIRS, WALKS, SYMBOLS = 100, 50, 8 << 20
 #: Items that are sent to all executors at once, and bytes of their texts; more are searched block after block.
 BLOCK_ITEMS, BLOCK_BYTES = 5000, 16 << 20
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -38,11 +41,6 @@ def words(text: bytes) -> list[bytes]:
     return WORD.findall(text.lower())
 
 
-def repetitions(recall: float = RECALL, drawn: int = DRAWN, share: float = SHARE) -> int:
-    """How many repetitions find a pair of the given Hamming share with the target probability."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** drawn))
-
-
 def most_edits(n: int) -> int:
     return int(EDITS * n)
 
@@ -97,6 +95,47 @@ def triples(seq: np.ndarray) -> np.ndarray:
     return (seq[:-2] * m + seq[1:-1]) * m + seq[2:]
 
 
+def edited(item: list[int], edits: int, new: int, rng: np.random.Generator) -> list[int]:
+    """The item after so many changes, insertions and deletions at random places; new words are numbered from `new`."""
+    out = list(item)
+    for k, kind in enumerate(rng.integers(3, size=edits).tolist()):
+        at = int(rng.integers(len(out) + (kind == 1)))
+        out[at : at + (kind != 1)] = [] if kind == 2 and len(out) > 1 else [new + k]
+    return out
+
+
+@lru_cache(1000)
+def _reckoned(n: int, recall: float) -> tuple[int, int]:
+    d = most_edits(n)
+    if not d:
+        return DRAWN, 1
+    rng, item = np.random.default_rng(n), list(range(1, n + 1))
+    own = embed(np.array([item]), WALKS)
+    shares = []
+    for _ in range(PAIRS):
+        # the window runs on behind the copy, or ends within it
+        row = (edited(item, d, n + 1, rng) + list(range(2 * n + 1, 3 * n + 1)))[:n]
+        shares.append((own != embed(np.array([row]), WALKS)).mean(axis=2).ravel())
+    for drawn in range(DRAWN, 0, -1):
+        hit = ((1 - np.array(shares)) ** drawn).mean(axis=1)
+        found = lambda times, hit=hit: (1 - (1 - hit) ** times).mean()
+        times = 1
+        while found(times) < recall and (times < TIMES or drawn == 1):
+            times += 1
+        if found(times) >= recall:
+            break
+    return drawn, times
+
+
+def repetitions(n: int, recall: float = RECALL) -> tuple[int, int]:
+    """Steps drawn and repetitions that find an item of n words under most_edits(n) edits with the target probability.
+
+    Reckoned for the window that starts where the match does, at the next of some lengths, as longer items need more.
+    """
+    step = max(5, 5 * (n // 40))
+    return _reckoned(-(-n // step) * step if most_edits(n) else n, recall)
+
+
 class Items:
     """A block of benchmark items, prepared for the search."""
 
@@ -107,7 +146,6 @@ class Items:
             w = [self.ids.setdefault(x, len(self.ids) + 1) for x in words(text)]
             if w:
                 self.items.append((item_id, w))
-        self.times = repetitions(recall)
         held: dict[int, set[int]] = {}
         for k, (_, w) in enumerate(self.items):
             for x in triples(np.array(w, np.int64)).tolist():
@@ -125,14 +163,26 @@ class Items:
         for k, (_, w) in enumerate(self.items):
             self.lengths.setdefault(len(w), []).append(k)
         self.tables: dict[tuple[int, int], dict[bytes, list[int]]] = {}
+        self.plan = {n: repetitions(n, recall) for n in self.lengths}
         for n, own in self.lengths.items():
-            rows = np.array([self.items[k][1] for k in own], np.int64)
-            walks = embed(rows, self.times)
-            for r in range(self.times):
-                keys = np.ascontiguousarray(walks[r][:, drawn_steps(n, r)])
-                table = self.tables[n, r] = {}
-                for k, key in zip(own, keys, strict=True):
-                    table.setdefault(key.tobytes(), []).append(k)
+            self.tables.update({(n, r): {} for r in range(self.plan[n][1])})
+            for at in range(0, len(own), step := self._at_once(n)):
+                rows = np.array([self.items[k][1] for k in own[at : at + step]], np.int64)
+                for r, keys in self._keys(rows):
+                    for k, key in zip(own[at : at + step], keys, strict=True):
+                        self.tables[n, r].setdefault(key.tobytes(), []).append(k)
+
+    def _at_once(self, n: int) -> int:
+        """How many rows of n words are embedded at once."""
+        return max(1, min(512, SYMBOLS // (self.plan[n][1] * 2 * n)))
+
+    def _keys(self, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each repetition with the symbols that it draws of each row."""
+        n = rows.shape[1]
+        drawn, times = self.plan[n]
+        walks = embed(rows, times)
+        for r in range(times):
+            yield r, np.ascontiguousarray(walks[r][:, drawn_steps(n, r, drawn)])
 
     def search(self, text: bytes) -> list[tuple[int, int, int, int]]:
         """(item_id, distance, first word, word after the last) of the items that the text holds, best place of each."""
@@ -142,19 +192,23 @@ class Items:
         known = np.concatenate(([0], np.cumsum(seq > 0)))
         if not known[-1]:
             return []
-        for n, starts in self._able(seq, known).items():
-            for at in range(0, len(starts), 512):
-                self._probe(seq, starts[at : at + 512], n, found)
+        for n, able in self._able(seq, known).items():
+            starts = np.unique(np.concatenate(list(able.values())))
+            own = {k: set(x.tolist()) for k, x in able.items()}
+            tried: dict[int, list[int]] = {}
+            for at in range(0, len(starts), step := self._at_once(n)):
+                self._probe(seq, starts[at : at + step], n, own, tried, found)
         return [(self.items[k][0], *v) for k, v in sorted(found.items())]
 
-    def _able(self, seq: np.ndarray, known: np.ndarray) -> dict[int, np.ndarray]:
-        """For each length of items the starts of windows that hold enough of one item's triples."""
+    def _able(self, seq: np.ndarray, known: np.ndarray) -> dict[int, dict[int, np.ndarray]]:
+        """For each length the items with the starts of windows that hold enough of their triples; item -1: any of the length."""
         total, able = len(seq), {}
         for n in self.lengths:
             if n - 2 - 3 * most_edits(n) < 1 and known[-1] >= n - most_edits(n):
                 start = np.arange(max(total - n + most_edits(n), 0) + 1)
                 start = start[known[np.minimum(start + n + most_edits(n), total)] - known[start] >= n - most_edits(n)]
-                able.setdefault(n, []).append(start)
+                if len(start):
+                    able[n] = {-1: start}
         if total > 2 and len(self.triples):
             own = triples(seq)
             at = np.minimum(np.searchsorted(self.triples, own), len(self.triples) - 1)
@@ -173,22 +227,21 @@ class Items:
                 if len(high):
                     count = high - low + 1
                     inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                    able.setdefault(n, []).append(np.repeat(low, count) + inner)
-        return {n: np.unique(np.concatenate(x)) for n, x in able.items()}
+                    able.setdefault(n, {})[k] = np.unique(np.repeat(low, count) + inner)
+        return able
 
-    def _probe(self, seq: np.ndarray, start: np.ndarray, n: int, found: dict[int, tuple[int, int, int]]) -> None:
+    def _probe(self, seq: np.ndarray, start: np.ndarray, n: int, able: dict[int, set[int]], tried: dict[int, list[int]], found: dict[int, tuple[int, int, int]]) -> None:
         d = most_edits(n)
         place = start[:, None] + np.arange(n)[None, :]
         inside = (place >= 0) & (place < len(seq))
         # a word outside of the vocabulary is id 0 like the end of the text; neither equals a word of an item
         rows = np.where(inside, seq[np.clip(place, 0, len(seq) - 1)], 0)
-        tried: dict[int, list[int]] = {}
-        walks = embed(rows, self.times)
-        for r in range(self.times):
-            keys = np.ascontiguousarray(walks[r][:, drawn_steps(n, r)])
+        for r, keys in self._keys(rows):
             table = self.tables[n, r]
             for s, key in zip(start.tolist(), keys, strict=True):
                 for k in table.get(key.tobytes(), ()):
+                    if -1 not in able and s not in able.get(k, ()):
+                        continue
                     # a start within d words was verified over a stretch that holds this one's match as well
                     if found.get(k, (d + 1,))[0] == 0 or any(abs(s - x) <= d for x in tried.get(k, ())):
                         continue
