@@ -30,6 +30,18 @@ def test_odd_rows(spark, module):
     assert module.classify(docs.limit(0), labels).count() == 0
 
 
+def test_toxic_expressions(spark):
+    """Pairs of words that only one class uses, or that begin a text, weigh for that class."""
+    rows = [(i, f"common words number {i % 50} here zot qux and more", 1) for i in range(400)] + [(400 + i, f"common words number {i % 50} here and more", 0) for i in range(400)]
+    rows += [(800 + i, f"yak {i % 50}", 1) for i in range(200)] + [(1000 + i, f"gnu {i % 50}", 0) for i in range(200)]
+    found = op2_toxicity.weights(spark.createDataFrame(rows, "doc_id long, text string, y int").withColumn("text", F.col("text").cast("binary")))
+    weight = {r.key: r.weight for r in found.collect()}
+    pair = lambda text: int(op2_toxicity.pair_keys(op2_toxicity.word_numbers(text))[-1])
+    assert weight.get(pair(b"zot qux"), 0) > 0  # each word follows one other only, in toxic texts only
+    assert weight.get(pair(b"yak"), 0) > 0 > weight.get(pair(b"gnu"), 0)  # after START
+    assert weight.get(pair(b"words number"), 0) == 0
+
+
 def test_toxicity_joined_table(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     docs = docs.unionByName(docs.where("doc_id < 5"))
