@@ -31,7 +31,8 @@ NAME_PARTS = {
     "credentials": 0.9, "bearer": 0.8, "authorization": 0.8, "auth": 0.6, "private": 0.5, "key": 0.5, "access": 0.3, "api": 0.4,
     "signing": 0.4, "encryption": 0.4, "client": 0.1, "session": 0.3, "salt": 0.6, "pass": 0.8,
 }
-SENSITIVE = re.compile("pass|pwd|secret|token|key|credential|bearer|auth|salt", re.IGNORECASE | re.ASCII)
+#: A text without any of these has no name that scores: all parts but those that hold another.
+SENSITIVE = [k for k in NAME_PARTS if not any(x in k for x in NAME_PARTS if x != k)]
 PLACEHOLDER = re.compile(r"example|changeme|placeholder|your|dummy|sample|xxx|\*\*\*|\.\.\.|^\$|^<|^\{|^%|^(?:none|null|true|false|undefined|todo)$", re.IGNORECASE)
 TARGET = re.compile(r"""(?<![\w.\-])([A-Za-z_][\w.\-]*)["'\]]{0,2}[ \t]*(?::[ \t]*[A-Za-z_][\w.]*[ \t]*(?==[^=>]))?(?:=>|:=|=(?!=)|:(?![:/]))[ \t]*""", re.ASCII)
 LITERAL = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`""")
@@ -94,7 +95,8 @@ def assignments(text: str) -> list[tuple[str, list[tuple[int, int]], str]]:
 
 def named_spans(text: str, threshold: float = 0.6) -> list[tuple[int, int, int]]:
     """Spans of literals that were assigned, straight or through constants, to sensitive names."""
-    if not SENSITIVE.search(text):
+    low = text.lower()
+    if not any(k in low for k in SENSITIVE):
         return []
     held: dict[str, list[tuple[int, int]]] = {}
     best: dict[tuple[int, int], float] = {}

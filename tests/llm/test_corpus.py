@@ -65,6 +65,14 @@ def test_secrets():
     assert op5_secrets.base_spans("token=short") == []
 
 
+@pytest.mark.parametrize("name", ["private_signing", "api_access", "ENCRYPTION_API", "privateSession"])
+def test_secrets_by_name_alone(name):
+    """What is found doesn't depend on other words of the text."""
+    text = f'{name} = "Zx81kQpW77aaR2"'
+    assert op5_secrets.name_score(name) >= 0.6
+    assert [text[a:b] for a, _, b in op5_secrets.named_spans(text)] == [text[a:b] for a, _, b in op5_secrets.named_spans(text + " monkey")] == ["Zx81kQpW77aaR2"]
+
+
 @pytest.mark.parametrize("bound", [op7_lines.INDEX_BYTES, 0])
 def test_lines(docs, bound):
     got = op7_lines.dedup(docs, ["doc_id"], index_bytes=bound).collect()
