@@ -3,7 +3,8 @@
 For every prefix of a word there is one token with which the BPE encoding of that prefix ends. An automaton over the
 vocabulary lists the tokens that end at each position, longest first; the right one is the first whose predecessor (the
 last token of the remaining prefix, stored before) is compatible with it: their two merge trees meet at the border, and
-no merge across it would have come before the merges that formed them. Back-pointers then give the ids.
+no merge across it would have come before the merges that formed them. Back-pointers then give the ids. New words are
+encoded in order, so that a prefix which several of them share is worked out once.
 
 Normalisation and word splitting are those of the tokenizer's file: composed form, lower case, runs of letters, single
 digits, runs of other signs, white space dropped. Texts within a plain Latin range take a compiled expression for these
@@ -17,7 +18,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from struct import pack
 
 import pyarrow as pa
@@ -28,8 +29,12 @@ from pointmill.llm.common import by_slices, text_bytes
 
 #: Fixed value: the mark of a word's last symbol in the vocabulary file.
 END = "</w>"
-#: Encoded words in each of a worker's two stores, and token borders that it keeps; then the older ones go.
-CACHE, BORDERS = 50_000, 100_000
+#: Encoded words, and token borders, in each of a worker's two stores; then the older one goes.
+CACHE = 150_000
+#: Bytes of a word whose ids are stored, at most; bytes of texts whose new words are encoded together.
+STORED, TOGETHER = 64, 1 << 20
+#: Symbols of the automaton: the 256 bytes, and each of them as a word's last one.
+SYMBOLS = 512
 
 
 def byte_symbols() -> list[str]:
@@ -56,58 +61,117 @@ class Bpe:
     """A word-end BPE vocabulary; encode() and decode() take whole texts."""
 
     def __init__(self, path: str):
-        import ahocorasick
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.path = path
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: t for t, i in [*vocab.items(), *self.special.items()]}
-        self.library = Tokenizer.from_file(path)
-        self.symbols = byte_symbols()
-        # a last symbol is one letter of its own: the stand-in moved up by LAST
-        self.last = 0x1000
-        letters = lambda t: t[: -len(END) - 1] + chr(ord(t[-len(END) - 1]) + self.last) if t.endswith(END) and len(t) > len(END) else t
-        self.pairs: dict[tuple[int, int], int] = {}
+        top = max([*vocab.values(), *self.special.values()])
+        self.names: list[str | None] = [None] * (top + 1)
+        for t, i in [*vocab.items(), *self.special.items()]:
+            self.names[i] = t
+        self.width = top + 1
+        self.back = {c: b for b, c in enumerate(byte_symbols())}
+        self.pairs: dict[int, int] = {}
         rank: dict[int, int] = {}
         halves: dict[int, tuple[int, int]] = {}
         for k, (a, b) in enumerate(merges):
             pair, whole = (vocab[a], vocab[b]), vocab[a + b]
-            self.pairs.setdefault(pair, k)
+            self.pairs.setdefault(pair[0] * self.width + pair[1], k)
             if whole not in halves:
                 halves[whole], rank[whole] = pair, k
         self.halves, self.rank, self.far = halves, rank, len(merges) + 1
-        self.automaton = ahocorasick.Automaton()
-        for t, i in vocab.items():
-            if i not in halves or self._sound(i):
-                self.automaton.add_word(w := letters(t), (i, len(w)))
-        self.automaton.make_automaton()
+        self.edges: tuple[dict[int, tuple], dict[int, tuple]] = ({}, {})
+        self._build((t, i) for t, i in vocab.items() if i not in halves or self._sound(i))
+        self.edges = ({}, {})
         self.outside, self.words = _plain_range()
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.borders: dict[int, bool] = {}
-        self.stand_in = dict(enumerate(self.symbols))
+        self.older_borders: dict[int, bool] = {}
+
+    @cached_property
+    def library(self):  # noqa: ANN202
+        """The tokenizer library's normaliser and splitter, loaded for the first text that needs them."""
+        from tokenizers import Tokenizer
 
-    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        return Tokenizer.from_file(self.path)
+
+    def _build(self, tokens: Iterator[tuple[str, int]]) -> None:
+        """The automaton: steps by state and symbol, where to go on from when there is none, and the tokens that end in a state."""
+        step: dict[int, int] = {}
+        parent, symbol, ends = [0], [0], [-1]
+        self.sized: dict[int, tuple[int, int]] = {}
+        for t, i in tokens:
+            last = t.endswith(END) and len(t) > len(END)
+            body = t[: -len(END)] if last else t
+            if any(c not in self.back for c in body):
+                continue
+            state = 0
+            codes = [self.back[c] for c in body]
+            if last:
+                codes[-1] += 256
+            for c in codes:
+                key = state * SYMBOLS + c
+                state = step.get(key, 0)
+                if not state:
+                    state = step[key] = len(parent)
+                    parent.append(key // SYMBOLS)
+                    symbol.append(c)
+                    ends.append(-1)
+            ends[state] = i
+            self.sized[i] = (i, len(codes))
+        other, order = [0] * len(parent), [0]
+        children: dict[int, list[int]] = {}
+        for s in range(1, len(parent)):
+            children.setdefault(parent[s], []).append(s)
+        for s in order:  # by depth
+            order += children.get(s, ())
+        for s in order[1:]:
+            up = parent[s]
+            if up:
+                at, c = other[up], symbol[s]
+                while at and at * SYMBOLS + c not in step:
+                    at = other[at]
+                other[s] = step.get(at * SYMBOLS + c, 0)
+        self.step, self.other, self.ends = step, other, ends
+        self.found: dict[int, tuple[tuple[int, int], ...]] = {}
+        self.moves: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}
+
+    def _found(self, state: int) -> tuple[tuple[int, int], ...]:
+        """The tokens that end in the state, longest first, each with its size."""
+        out, at = [], state
+        while at:
+            if self.ends[at] >= 0:
+                out.append(self.sized[self.ends[at]])
+            at = self.other[at]
+        got = self.found[state] = tuple(out)
+        return got
+
+    def _edge(self, token: int, side: int) -> tuple[tuple[int, int], ...]:
         """The nodes down the token's left (0) or right (1) edge, each with the rank at which the next node above takes it."""
-        nodes, node, until = [], token, self.far
-        while True:
-            nodes.append((node, until))
-            if node not in self.halves:
-                return nodes
-            node, until = self.halves[node][side], self.rank[node]
+        got = self.edges[side].get(token)
+        if got is None:
+            nodes, node, until = [], token, self.far
+            while True:
+                nodes.append((node, until))
+                if node not in self.halves:
+                    break
+                node, until = self.halves[node][side], self.rank[node]
+            got = self.edges[side][token] = tuple(nodes)
+        return got
 
     def _compatible(self, a: int, b: int) -> bool:
         """Whether no merge across the border of a and b comes before both sides are complete.
 
         At equal ranks the pair further left goes first: that is a's own merge, but not b's.
         """
-        pairs, right = self.pairs, self._edge(b, 0)
+        get, right = self.pairs.get, self._edge(b, 0)
         for x, x_until in self._edge(a, 1):
+            x *= self.width
             for y, y_until in right:
-                k = pairs.get((x, y))
+                k = get(x + y)
                 if k is not None and k < x_until and k <= y_until:
                     return False
         return True
@@ -122,40 +186,73 @@ class Bpe:
             a, b = halves[x]
             for p, p_until in self._edge(a, 1):
                 for q, q_until in self._edge(b, 0):
-                    k = self.pairs.get((p, q))
+                    k = self.pairs.get(p * self.width + q)
                     if k is not None and (p, q) != (a, b) and k < min(p_until, rank[x]) and k <= min(q_until, rank[x]):
                         return False
             todo += (a, b)
         return True
 
-    def word(self, word: str) -> list[int]:
-        """The ids of one word."""
-        letters = word.encode().decode("latin-1").translate(self.stand_in)
-        letters = letters[:-1] + chr(ord(letters[-1]) + self.last)
-        n, known = len(letters), self.borders
-        ends, done = [-1] * n, [-1] * n  # by the place of a prefix's last letter: its last token, and the place before that token
-        for at, (t, size) in self.automaton.iter(letters):
-            if ends[at] < 0:
-                before = at - size
-                if before >= 0:
-                    border = ends[before] << 16 | t
-                    fits = known.get(border)
-                    if fits is None:
-                        fits = self._remember(border)
-                    if not fits:
-                        continue
-                ends[at], done[at] = t, before
-        ids, at = [], n - 1
-        while at >= 0:
-            ids.append(ends[at])
-            at = done[at]
-        ids.reverse()
-        return ids
+    def _move(self, key: int) -> tuple[int, tuple[tuple[int, int], ...]]:
+        """The state after a state and one more symbol, and the tokens that end there."""
+        step, other = self.step, self.other
+        state, c = divmod(key, SYMBOLS)
+        while (to := step.get(state * SYMBOLS + c)) is None and state:
+            state = other[state]
+        state = to or 0
+        if len(self.moves) >= CACHE:
+            self.moves.clear()
+        got = self.moves[key] = (state, self.found.get(state) or self._found(state))
+        return got
+
+    def _learn(self, words: list[str]) -> None:
+        """Stores the ids of new words. In order, words share the work for the prefix that they have in common.
+
+        Of each place of a word's bytes three lists hold the state of the automaton, the last token of the prefix that ends
+        there, and the place before that token.
+        """
+        move, remember, width = self._move, self._remember, self.width
+        before, states, ends, places = b"", [], [], []
+        for raw, word in sorted([(w.encode("utf-8", "surrogateescape"), w) for w in words]):
+            n, same = len(raw) - 1, 0
+            most = min(n, len(before))
+            if raw[:most] == before[:most]:
+                same = most
+            else:
+                while raw[same] == before[same]:
+                    same += 1
+            del states[same:], ends[same:], places[same:]
+            state, moves, borders = states[-1] if same else 0, self.moves, self.borders
+            for at in range(same, n + 1):
+                key = state * SYMBOLS + raw[at] + (at == n) * 256
+                state, found = moves.get(key) or move(key)
+                for t, size in found:
+                    place = at - size
+                    if place < 0:
+                        break
+                    border = ends[place] * width + t
+                    fits = borders.get(border)
+                    if fits or fits is None and remember(border):
+                        break
+                states.append(state)
+                ends.append(t)
+                places.append(place)
+            ids, at = [], n
+            while at >= 0:
+                ids.append(ends[at])
+                at = places[at]
+            ids.reverse()
+            self.known[word] = pack(f"<{len(ids)}I", *ids)
+            # the last place belongs to this word only
+            del states[n:], ends[n:], places[n:]
+            before = raw[:n]
 
     def _remember(self, border: int) -> bool:
-        if len(self.borders) >= BORDERS:
-            self.borders.clear()
-        fits = self.borders[border] = self._compatible(border >> 16, border & 0xFFFF)
+        fits = self.older_borders.get(border)
+        if fits is None:
+            fits = self._compatible(*divmod(border, self.width))
+        if len(self.borders) >= CACHE:
+            self.borders, self.older_borders = {}, self.borders
+        self.borders[border] = fits
         return fits
 
     def _pieces(self, text: str) -> Iterator[tuple[bool, str]]:
@@ -177,42 +274,37 @@ class Bpe:
         return [self._own(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
     def _own(self, symbols: str) -> str:
-        back = self.__dict__.setdefault("_back", {c: b for b, c in enumerate(self.symbols)})
-        return bytes(back[c] for c in symbols).decode("utf-8", "surrogateescape")
-
-    def encode_text(self, text: str) -> tuple[bytes, str]:
-        """The ids as little-endian 32-bit integers, and the decoded text."""
-        if self.cut and self.cut.search(text):
-            found = [self._special(w) if special else self._known(w) for special, w in self._pieces(text)]
-        else:
-            words = self._split(text)
-            found = list(map(self.known.get, words))
-            if None in found:
-                own = self._known
-                found = [g or own(w) for g, w in zip(found, words, strict=True)]
-        return b"".join([g[0] for g in found]), " ".join([g[1] for g in found])
-
-    def _special(self, token: str) -> tuple[bytes, str]:
-        return self.special[token].to_bytes(4, "little"), token
-
-    def _known(self, word: str) -> tuple[bytes, str]:
-        """A word's ids and decoded text from the newer or older half of the store, or else encoded now."""
-        got = self.known.get(word) or self.older.get(word)
-        if got is None:
-            ids = self.word(word)
-            got = (pack(f"<{len(ids)}I", *ids), " ".join([self.names[i] for i in ids]))
-        if len(word) <= 64:
-            if len(self.known) >= CACHE:
-                self.known, self.older = {}, self.known
-            self.known[word] = got
-        return got
+        return bytes(self.back[c] for c in symbols).decode("utf-8", "surrogateescape")
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers. New words of all texts are encoded together."""
+        cut = [list(self._pieces(t)) if self.cut and self.cut.search(t) else None for t in texts]
+        words = [self._split(t) if c is None else [w for special, w in c if not special] for t, c in zip(texts, cut, strict=True)]
+        if len(self.known) >= CACHE:
+            self.known, self.older = {}, self.known
+        new = set().union(*words).difference(self.known)
+        again = [w for w in new if w in self.older]
+        for w in again:
+            self.known[w] = self.older[w]
+        new.difference_update(again)
+        self._learn(list(new))
+        get, out = self.known.__getitem__, []
+        for own, pieces in zip(words, cut, strict=True):
+            if pieces is None:
+                out.append(b"".join(map(get, own)))
+            else:
+                out.append(b"".join(pack("<I", self.special[w]) if special else get(w) for special, w in pieces))
+        for w in new:
+            if len(w) > STORED:
+                del self.known[w]
+        return out
 
     def encode(self, text: str) -> list[int]:
-        raw = self.encode_text(text)[0]
-        return [int.from_bytes(raw[i : i + 4], "little") for i in range(0, len(raw), 4)]
+        return memoryview(self.encode_texts([text])[0]).cast("I").tolist()
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join(self.names[i] for i in ids if i in self.names)
+        """The tokens' names, joined by spaces."""
+        return " ".join(map(self.names.__getitem__, ids))
 
 
 @lru_cache(1)
@@ -221,29 +313,33 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int64())), ("decoded", pa.string())])
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
 def _apply(path: str, digest: bool) -> Callable:
     def work(columns: list[list]) -> list[list]:
         bpe, out = load(path), [[], [], [], []]
-        for doc_id, text in zip(*columns, strict=True):
-            ids, decoded = bpe.encode_text(text.decode())
-            row = (hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()) if digest else (memoryview(ids).cast("I").tolist(), decoded)
-            for c, v in zip(out, (doc_id, len(ids) // 4, *row), strict=True):
+        # Spark's strings may hold bytes that are no UTF-8; they are read as U+FFFD
+        for doc_id, raw in zip(columns[0], bpe.encode_texts([t.decode("utf-8", "replace") for t in columns[1]]), strict=True):
+            ids = memoryview(raw).cast("I").tolist()
+            decoded = bpe.decode(ids)
+            row = (hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()) if digest else (ids, decoded)
+            for c, v in zip(out, (doc_id, len(ids), *row), strict=True):
                 c.append(v)
         return out
 
-    return by_slices(work, DIGEST if digest else ENCODED)
+    return by_slices(work, DIGEST if digest else ENCODED, TOGETHER)
 
 
 def encode(docs: DataFrame, vocabulary: str, digest: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids and decoded; with digest, SHA-256 sums instead of the last two.
 
-    A null text is empty: no ids, an empty decoded text. Null and repeated ids and rows come through as they are. Only
-    doc_id and text are read. vocabulary is the path of the tokenizer's file, the same on every executor.
+    A null text is empty: no ids, an empty decoded text. Null and repeated ids and rows come through as they are, and an
+    empty table gives an empty result. A text of any length is encoded whole, by itself if it is long; bytes that are no
+    UTF-8 count as U+FFFD. Only doc_id and text are read, so other columns may have any names. vocabulary is the path of
+    the tokenizer's file, the same on every executor.
     """
     rows = docs.select(F.col("doc_id").cast("long"), text_bytes())
-    kind = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string")
+    kind = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<long>, decoded string")
     return rows.mapInArrow(_apply(vocabulary, digest), kind)
