@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,6 +49,15 @@ def remove(df: DataFrame) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)  # noqa: SLF001
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of what nothing refers to any more, as it does only after garbage collections.
+
+    For steps of many rounds whose results are written: without it the files of all rounds lie on disk until the end.
+    """
+    gc.collect()
+    spark._jvm.System.gc()  # noqa: SLF001
+
+
 def text_bytes(text: Column | str = "text") -> Column:
     """The text in UTF-8 as binary; null counts as empty."""
     text = F.col(text) if isinstance(text, str) else text

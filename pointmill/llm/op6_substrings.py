@@ -1,18 +1,20 @@
 """Repeated substrings: every byte covered by a string of LENGTH bytes that also starts elsewhere is removed.
 
-Ranks come from prefix doubling: a position's rank for 2l bytes is made of its ranks for l bytes at the position and l
-further on, up to ANCHOR bytes. To sort such pairs for every byte up to LENGTH would shuffle over a hundred times the
-input, so Spark regroups only positions that can still matter. Each string of LENGTH bytes has one anchor, its position
-of the least rank; equal strings have equal anchors at equal offsets. The starts that share an anchor are one unit, and
-
-1. units are ranked by their whole span: if a span occurs twice, all its starts repeat;
-2. one of each kind of unit is ranked by the SIDE bytes before and after the anchor: a repeated string reaches that far to
-   one side at least, so a unit that is alone on both sides has no other repeats and leaves, and one that is alone on one
-   side keeps the starts that don't reach so far there;
-3. what is left is ranked start by start at the full LENGTH.
-
-Ranks are hashes, so that no global order is needed; those that decide a removal have 128 bits. Each round keeps counts,
-combined before the shuffle, and is written to the shared folder where two steps read it.
+Distributed prefix doubling over the starts that can still matter. Tasks double ranks up to ANCHOR bytes. To go on with
+every byte up to LENGTH would shuffle over a hundred times the input, so starts go on in ranges: each string of LENGTH
+bytes has one anchor, its position of the least rank, and equal strings have equal anchors at equal offsets. The starts
+that share an anchor are one unit, ordered by their offset from it. Then each round
+
+1. ranks ranges of starts by all that the strings of every start of the range hold, at first the anchor alone; what is
+   added to the left and to the right grows as ranges shrink, to a quarter of their width each round, until a range is one
+   start and its rank that of the whole LENGTH bytes;
+2. has Spark regroup the ranks: a range of a rank that nothing else has is left, for none of its starts repeats;
+3. ranks what remains by its whole span as well: a range whose span occurs twice repeats with all its starts and is done;
+   one of its kind stays as a witness, as long as an undecided range has its rank.
+
+So the rows of a round follow the number of places where repeated text begins or ends, not the bytes. Ranks are hashes,
+so no global order is needed: 64 bits where a clash only costs work, 128 bits where it would remove text. Counts are
+combined before the shuffle. Each round is written to the shared folder and the one before removed.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointmill.llm.common import by_slices, text_bytes, written
+from pointmill.llm.common import by_slices, remove, text_bytes, tidy, written
 
-LENGTH, ANCHOR = 400, 32
-SIDE = (LENGTH - ANCHOR) // 2
+LENGTH, ANCHOR = 400, 64
+#: Widths of the ranges of starts, round by round; each divides the one before.
+WIDTHS = (64, 16, 4, 1)
 #: Starts of one text that are ranked at a time.
 STRETCH = 1 << 20
 PLACE = 22
@@ -63,33 +66,52 @@ def units(text: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[t
         yield from zip((first + at).tolist(), (last + at).tolist(), (own[first] + at).tolist(), strict=True)
 
 
+def _long(digest: int) -> int:
+    return digest - (1 << 63)
+
+
 def _two(digest: int) -> tuple[int, int]:
-    return (digest >> 64) - (1 << 63), (digest & (2**64 - 1)) - (1 << 63)
+    return _long(digest >> 64), _long(digest & (2**64 - 1))
 
 
-def _unit_rows(length: int, anchor: int):  # noqa: ANN202
-    side = (length - anchor) // 2
+def _columns(rows: list[tuple], width: int) -> list[list]:
+    return [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * width
 
+
+def _unit_rows(length: int, anchor: int):  # noqa: ANN202
     def work(columns: list[list]) -> list[list]:
         out: list[tuple] = []
         for i, mark, text in zip(*columns, strict=True):
             for s, e, p in units(text, length, anchor):
-                u, v = _two(xxhash.xxh3_128_intdigest(text[s : e + length], p - s))
-                left = xxhash.xxh64_intdigest(text[p - side : p + anchor], 1) - (1 << 63) if p - side >= s else None
-                right = xxhash.xxh64_intdigest(text[p : p + anchor + side], 2) - (1 << 63) if p + anchor + side <= e + length else None
-                out.append((i, mark, s, e, p, u, v, left, right))
-        return [list(c) for c in zip(*out, strict=True)] if out else [[]] * 9
+                out.append((i, mark, s, e, p, _long(xxhash.xxh64_intdigest(text[p : p + anchor])), *_two(xxhash.xxh3_128_intdigest(text[s : e + length], p - s))))
+        return _columns(out, 8)
 
     return work
 
 
-def _string_rows(length: int):  # noqa: ANN202
+def _context_rows(length: int):  # noqa: ANN202
+    def work(columns: list[list]) -> list[list]:
+        return _columns([(i, mark, x["p"], x["s"], x["e"], x["open"], text[x["s"] : x["e"] + length]) for i, mark, text, own in zip(*columns, strict=True) for x in own], 7)
+
+    return work
+
+
+def _range_rows(length: int, anchor: int, width: int, before: int):  # noqa: ANN202
+    """The ranges of `width` starts that those of width `before` split into, with both ranks."""
+    most = length - anchor
+
     def work(columns: list[list]) -> list[list]:
         out: list[tuple] = []
-        for i, mark, text, own in zip(*columns, strict=True):
+        for i, mark, p, s, e, context, own in zip(*columns, strict=True):
+            near, far = p - e, p - s
             for x in own:
-                out += [(i, mark, at, x["single"], *_two(xxhash.xxh3_128_intdigest(text[at : at + length]))) for at in range(x["s"], x["e"] + 1)]
-        return [list(c) for c in zip(*out, strict=True)] if out else [[]] * 6
+                for k in range(x["node"] * before // width, min((x["node"] + 1) * before - 1, far) // width + 1):
+                    low, high = k * width, min(k * width + width - 1, most)
+                    a, b = p - min(high, far), p - max(low, near)  # the unit's first and last start in the range
+                    if a <= b:
+                        rank = xxhash.xxh64_intdigest(context[p - low - s : p - high + length - s], k)
+                        out.append((i, mark, p, k, a, b, x["open"], _long(rank), *_two(xxhash.xxh3_128_intdigest(context[a - s : b + length - s], p - a))))
+        return _columns(out, 10)
 
     return work
 
@@ -107,48 +129,78 @@ def _cut(length: int):  # noqa: ANN202
             edges = [0, *(x for span in spans for x in span), len(text)]
             kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
             out.append((i, len(text), len(text) - len(kept), [{"start": a, "end": b} for a, b in spans], kept))
-        return [list(c) for c in zip(*out, strict=True)]
+        return _columns(out, 5)
 
     return work
 
 
-def _schema(**fields: str) -> pa.Schema:
-    kinds = {"l": pa.int64(), "b": pa.bool_(), "t": pa.binary(), "s": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
-    return pa.schema([(n, kinds[k]) for n, k in fields.items()])
+KINDS = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<struct<start long, end long>>": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
+
+
+def _mapped(df: DataFrame, work, **fields: str) -> DataFrame:  # noqa: ANN001
+    """df through a work of by_slices; fields: the new columns with their types."""
+    return df.mapInArrow(by_slices(work, pa.schema([(n, KINDS[k]) for n, k in fields.items()])), ", ".join(f"{n} {k}" for n, k in fields.items()))
+
+
+def _of(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """df joined with other on keys that may be null; the other's keys are left out."""
+    named = other.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return df.join(named, on, how).drop(*(f"_{k}" for k in keys))
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+ROW = ["doc_id", "mark"]
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (removed runs) and kept (binary, what is left) of each row of docs.
 
-    A null text is empty; a text shorter than `length` loses nothing. Repeated rows are places of their own, so a text of
-    enough bytes that occurs in two rows is removed whole, under one id or two; a null doc_id comes through. Other columns
-    are not read. An empty table gives an empty result.
+    A null text is empty; a text shorter than `length` loses nothing; a very long one is ranked a stretch at a time. Repeated
+    rows are places of their own, so a text of enough bytes that occurs in two rows is removed whole, under one id or two;
+    a null doc_id comes through. Other columns are not read. An empty table gives an empty result. `anchor` is a power of
+    two, less than `length`.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), text_bytes().alias("text"))
+    spark = docs.sparkSession
     # a row is known by its id and its text: equal rows have equal spans
-    kind = _schema(doc_id="l", mark="l", s="l", e="l", p="l", u="l", v="l", left="l", right="l")
-    every = written(rows.where(F.length("text") >= length).mapInArrow(by_slices(_unit_rows(length, anchor), kind), "doc_id long, mark long, s long, e long, p long, u long, v long, left long, right long"), "units")
-    kinds = every.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "mark", "s", "e", "p", "left", "right")).alias("one"))
-    kinds = written(kinds.select("u", "v", (F.col("n") == 1).alias("single"), "one.*"), "kinds")
-    sides = kinds.select("u", "v", F.posexplode(F.array("left", "right")).alias("after", "side")).where(F.col("side").isNotNull())
-    shared = sides.groupBy("side").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("side")
-    alive = sides.join(shared, "side").groupBy("u", "v").agg(F.min("after").alias("least"), F.max("after").alias("most"))
-    # a start `side` bytes before the anchor or more reaches far to the left, a later one, or that very one, to the right
-    turn = F.col("p") - (length - anchor) // 2
-    lo = F.when(F.col("least") == 0, F.col("s")).otherwise(F.greatest("s", turn - (length - anchor) % 2))
-    hi = F.when(F.col("most") == 1, F.col("e")).otherwise(F.least("e", turn))
-    todo = kinds.join(alive, ["u", "v"]).groupBy("doc_id", "mark").agg(F.collect_list(F.struct(lo.alias("s"), hi.alias("e"), "single")).alias("own"))
-    todo = todo.select(F.col("doc_id").alias("i"), F.col("mark").alias("m"), "own")
-    texts = rows.join(todo, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))).select("doc_id", "mark", "text", "own")
-    kind = _schema(doc_id="l", mark="l", s="l", single="b", u="l", v="l")
-    strings = written(texts.mapInArrow(by_slices(_string_rows(length), kind), "doc_id long, mark long, s long, single boolean, u long, v long"), "strings")
-    twice = strings.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u", "v")
-    starts = strings.where("single").join(twice, ["u", "v"], "left_semi").select("doc_id", "mark", "s", F.col("s").alias("e"))
-    spans = every.join(kinds.where("NOT single").select("u", "v"), ["u", "v"], "left_semi").select("doc_id", "mark", "s", "e")
-    found = spans.unionByName(starts).distinct().groupBy(F.col("doc_id").alias("i"), F.col("mark").alias("m")).agg(F.collect_list(F.struct("s", "e")).alias("own"))
-    kind = _schema(doc_id="l", n_bytes="l", n_removed="l", spans="s", kept="t")
-    both = rows.join(found, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left").select("doc_id", "text", "own")
-    return both.mapInArrow(by_slices(_cut(length), kind), "doc_id long, n_bytes long, n_removed long, spans array<struct<start long, end long>>, kept binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), text_bytes().alias("text"))
+    whole = dict.fromkeys(("doc_id", "mark", "s", "e", "p", "rank", "u", "v"), "long")
+    every = written(_mapped(rows.where(F.length("text") >= length), _unit_rows(length, anchor), **whole), "units")
+    twice = lambda df, key: df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
+    live = written(every.join(twice(every, "rank"), "rank"), "live")
+    remove(every)
+    tidy(spark)
+    counted = live.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("rank"), F.min(F.struct(*ROW, "s", "e", "p")).alias("one"))
+    kinds = written(counted.select("u", "v", "rank", (F.col("n") == 1).alias("open"), "one.*"), "kinds")
+    found = [written(live.join(kinds.where("NOT open").select("u", "v"), ["u", "v"], "left_semi").select(*ROW, "s", "e"), "found")]
+    remove(live)
+    undecided = lambda df: df.join(df.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("some")).where("n > 1 AND some").select("rank"), "rank")
+    todo = undecided(kinds).groupBy(*ROW).agg(F.collect_list(F.struct("p", "s", "e", "open")).alias("own"))
+    contexts = written(_mapped(_of(rows, todo, ROW).select(*ROW, "text", "own"), _context_rows(length), **dict.fromkeys(("doc_id", "mark", "p", "s", "e"), "long"), open="boolean", context="binary"), "contexts")
+    remove(kinds)
+    tidy(spark)
+    part = contexts.withColumn("own", F.array(F.struct(F.lit(0).cast("long").alias("node"), "open")))
+    before = length
+    for width in widths:
+        ids = dict.fromkeys(("doc_id", "mark", "p", "node", "s", "e"), "long")
+        nodes = written(_mapped(part.select(*ROW, "p", "s", "e", "context", "own"), _range_rows(length, anchor, width, before), **ids, open="boolean", rank="long", u="long", v="long"), "ranges")
+        counted = nodes.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.min("open").alias("alone"), F.min("rank").alias("rank"), F.min(F.struct(*ROW, "p", "node")).alias("one"))
+        kinds = written(counted.select("u", "v", "rank", (F.col("alone") & (F.col("n") == 1)).alias("open"), "one.*"), "kinds")
+        found.append(written(nodes.where("open").join(kinds.where("NOT open").select("u", "v"), ["u", "v"], "left_semi").select(*ROW, "s", "e"), "found"))
+        remove(nodes)
+        if width > 1:
+            alive = written(undecided(kinds).groupBy(*ROW, "p").agg(F.collect_list(F.struct("node", "open")).alias("own")), "alive")
+            part = _of(contexts, alive, [*ROW, "p"])
+            before = width
+        remove(kinds)
+        tidy(spark)
+    remove(contexts)
+    spans = found[0]
+    for more in found[1:]:
+        spans = spans.unionByName(more)
+    own = spans.distinct().groupBy(*ROW).agg(F.collect_list(F.struct("s", "e")).alias("own"))
+    return _mapped(_of(rows, own, ROW, "left").select("doc_id", "text", "own"), _cut(length), doc_id="long", n_bytes="long", n_removed="long", spans="array<struct<start long, end long>>", kept="binary")
 
 
 def digest(docs: DataFrame) -> DataFrame:
