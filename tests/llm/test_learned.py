@@ -1,3 +1,6 @@
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,11 +45,49 @@ def test_toxic_expressions(spark):
     assert weight.get(pair(b"words number"), 0) == 0
 
 
-def test_toxicity_joined_table(spark):
-    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
-    docs = docs.unionByName(docs.where("doc_id < 5"))
-    one, two = (sorted((r.doc_id, round(r.score, 5)) for r in op2_toxicity.classify(docs, labels, table_rows=n).collect()) for n in (op2_toxicity.TABLE_ROWS, 0))
-    assert one == two
+def test_toxicity_sums_to_one(spark):
+    """The table's differences are those of two models, worked out word by word, whose probabilities sum to one."""
+    rng = np.random.default_rng(5)
+    texts = [(int(i % 4 == 0), " ".join(f"w{x}" for x in rng.zipf(1.5, 30) % 40) + (" bad thing" if i % 8 == 0 else "")) for i in range(200)]
+    docs = spark.createDataFrame([(y, bytearray(t.encode())) for y, t in texts], "y int, text binary").repartition(3)
+    discounts = {"word_discount": 1.5, "pair_discount": 2.0, "shared": 3.0}
+    got = op2_toxicity.weights(docs, **discounts).toPandas()
+    table = op2_toxicity.Table(got["key"].to_numpy(), got["weight"].to_numpy())
+    n = [Counter(), Counter()]
+    for y, t in texts:
+        w = ["^", *t.split()]
+        n[y].update(zip(w, w[1:], strict=False))
+    words = {w for c in n for _, w in c}
+    before = {w: [sum(b == w for _, b in c) for c in n] for w in words}
+    b, size = [len(c) for c in n], [sum(c.values()) for c in n]
+    own = lambda a, other, rate: max(a - rate - 3.0 * other, 0)
+    pool = {w: sum(before[w]) / (sum(b) + 1) for w in words}
+    single = [{w: own(before[w][c] / b[c], before[w][1 - c] / b[1 - c], 1.5 / min(b)) for w in words} for c in (0, 1)]
+    mass = [1 - sum(x.values()) for x in single]
+    p1 = lambda c, w: single[c].get(w, 0) + mass[c] * pool.get(w, 1 / (sum(b) + 1))
+    held = [Counter(), Counter()]
+    for c in (0, 1):
+        for (h, _), k in n[c].items():
+            held[c][h] += k
+    share = lambda c, h, w: n[c][h, w] / held[c][h] if held[c][h] else 0.0
+    direct = lambda c, h, w: own(share(c, h, w), share(1 - c, h, w), 2.0 / min(size) * size[c] / held[c][h]) if held[c][h] else 0.0
+    p2 = lambda c, h, w: direct(c, h, w) + (1 - sum(direct(c, h, x) for x in words)) * p1(c, w)
+    for c in (0, 1):
+        assert sum(p1(c, w) for w in [*words, None]) == pytest.approx(1)
+        for h in ["^", "w1", "w2", "bad", "never"]:
+            assert sum(p2(c, h, w) for w in [*words, None]) == pytest.approx(1)
+    for text in ["w1 w2 bad thing w3", "w1 w1 w1", "thing bad", "never seen"]:
+        w = ["^", *text.split()]
+        want = sum(np.log(p2(1, h, x) / p2(0, h, x)) for h, x in zip(w, w[1:], strict=False)) / (len(w) - 1)
+        assert table.difference(text.encode()) == pytest.approx(want, rel=1e-4, abs=1e-6)
+    assert table.difference(b"bad thing") > 0 > table.difference(b"w1 w1 w1")
+
+
+def test_labelled_rows(spark):
+    """The bit array loses no labelled row."""
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(b"x").alias("text"))
+    known = spark.range(0, 3000, 7).select(F.col("id").alias("doc_id"), F.lit(1).alias("y"))
+    assert sorted(r.doc_id for r in op2_toxicity.labelled_rows(rows, known).collect()) == list(range(0, 3000, 7))
 
 
 @pytest.mark.parametrize(("length", "anchor"), [(400, 32), (20, 4)])
