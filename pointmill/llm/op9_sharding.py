@@ -1,8 +1,10 @@
 """Sharding by a two-pass external shuffle, in DataFrame functions only.
 
-Pass one scatters whole records by a seeded hash into buckets of a size that fits in memory. Pass two puts each bucket
-in a fixed order, permutes it by a Fisher-Yates shuffle and deals the records, counted on from bucket to bucket, to the
-shards in turn. Shard sizes differ by one row at most (law `rows`), and each shard's records are in random order.
+Pass one scatters whole records by a seeded hash of id and text into buckets of a size that fits in memory, one shuffle
+partition each. Pass two puts each bucket in a fixed order, permutes it by a Fisher-Yates shuffle that is seeded by the
+bucket's number, and deals the records, counted on from bucket to bucket, to the shards in turn. Shard sizes differ by one
+row at most (law `rows`), and each shard's records are in random order. The same rows and seed give the same shards,
+however the input is split into files or tasks, so a task that is run again makes the same bucket.
 """
 
 from __future__ import annotations
@@ -26,35 +28,52 @@ def record_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long")
 
 
-def shuffled(docs: DataFrame, seed: int = 42, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """All columns of docs and _size and _place, the record's place in a random order of all (0 to n - 1).
+def _scattered(docs: DataFrame, seed: int) -> DataFrame:
+    """_row (all columns), _size and _mark, the seeded hash; rows alike in id and text are told apart by a number.
 
-    The scattering hash covers the id, the text and a seeded random number of the row, so copies and repeated rows, nulls
-    too, are spread over all buckets. Scattered records are written to the shared folder between the passes: a task that
-    is run again reads the same bucket.
+    Numbers are needed only where there are such rows, so that a group of very many of them is scattered as well. Which of
+    them gets which number is left open: they differ in other columns at most.
     """
     columns = docs.columns
-    sized = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), record_size(F.col("text")).alias("_size"))
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    key = docs.select(F.col("doc_id").alias("_i"), text.alias("_t"))
+    again = written(key.groupBy("_i", "_t").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_i", "_t"), "again")
+    sized = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), record_size(F.col("text")).alias("_size"), F.col("doc_id").alias("_id"), text.alias("_text"))
+    if again.isEmpty():
+        sized = sized.withColumn("_copy", F.lit(0).cast("long"))
+    else:
+        joined = sized.join(again, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_t")), "left")
+        sized = written(joined.withColumn("_copy", F.when(F.col("_t").isNotNull(), F.monotonically_increasing_id()).otherwise(0)).drop("_i", "_t"), "copies")
+    return sized.select("_row", "_size", F.xxhash64(F.lit(seed), "_id", "_text", "_copy").alias("_mark"))
+
+
+def shuffled(docs: DataFrame, seed: int = 42, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """All columns of docs and _size and _place, the record's place in a random order of all (0 to n - 1)."""
+    columns = docs.columns
     total = docs.select(F.sum(record_size(F.col("text")))).first()[0] or 0
     n = max(1, math.ceil(total / bucket_bytes))
-    mark = F.xxhash64(F.lit(seed), F.col("_row.doc_id"), F.col("_row.text"), F.rand(seed))
-    scattered = written(sized.withColumn("_mark", mark).withColumn("_bucket", F.pmod("_mark", F.lit(n)).cast("int")).repartition(n, "_bucket"), "scattered")
+    scattered = _scattered(docs, seed).withColumn("_bucket", F.pmod("_mark", F.lit(n)).cast("int"))
     counts = scattered.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     blocks = counts.withColumn("_block", (F.col("_bucket") / BLOCK).cast("int"))
     before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     tops = blocks.groupBy("_block").agg(F.sum("_n").alias("_total")).select("_block", before(Window.orderBy("_block"), "_total").alias("_base"))
     starts = blocks.join(tops, "_block").select("_bucket", (F.col("_base") + before(Window.partitionBy("_block").orderBy("_bucket"), "_n")).alias("_start"))
-    # the marks give one order, whatever order the records arrive in; shuffle() then permutes the bucket
-    own = scattered.repartition(n, "_bucket").groupBy("_bucket").agg(F.array_sort(F.collect_list(F.struct("_mark", "_size", "_row")), lambda a, b: F.when(a["_mark"] < b["_mark"], -1).when(a["_mark"] > b["_mark"], 1).otherwise(0)).alias("_all"))
-    dealt = own.join(F.broadcast(starts) if n <= BLOCK else starts, "_bucket").select("_start", F.posexplode(F.shuffle("_all", seed)).alias("_i", "_x"))
+    starts = written(starts, "starts")
+    # a bucket is the partition of its number; marks and the row itself give it one order, whatever order records arrive in,
+    # and shuffle(), which counts partitions on from its seed, then permutes it
+    order = lambda a, b: F.when(a["_mark"] < b["_mark"], -1).when(a["_mark"] > b["_mark"], 1).otherwise(0)
+    own = scattered.repartitionById(n, "_bucket").groupBy("_bucket").agg(F.array_sort(F.collect_list(F.struct("_mark", "_size", "_row")), order).alias("_all"))
+    own = own.select("_bucket", F.shuffle("_all", seed).alias("_all"))
+    dealt = own.join(F.broadcast(starts) if n <= BLOCK else starts, "_bucket").select("_start", F.posexplode("_all").alias("_i", "_x"))
     return dealt.select(*(F.col("_x._row")[c].alias(c) for c in columns), F.col("_x._size").alias("_size"), (F.col("_start") + F.col("_i")).alias("_place"))
 
 
 def shard(docs: DataFrame, n_shards: int, seed: int = 42, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All columns of docs and size, law, shard and slot; slots of a shard are gapless from 0.
 
-    A null text has no bytes. Null and repeated ids, texts and rows are kept and dealt like any others. Columns of docs
-    named like the new ones are left out. An empty table gives an empty result.
+    A null text has no bytes and is dealt like an empty one. Null and repeated ids, texts and rows are kept and dealt like any
+    others; a text larger than a bucket makes its bucket larger. Columns of docs named like the new ones are left out. An
+    empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c not in ("size", "law", "shard", "slot", "_size", "_place", "_row", "_mark", "_bucket")]
     rows = shuffled(docs.select(*(F.col(f"`{c}`") for c in kept)), seed, bucket_bytes)
