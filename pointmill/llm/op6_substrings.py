@@ -167,15 +167,17 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, widths: t
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), text_bytes().alias("text"))
     whole = dict.fromkeys(("doc_id", "mark", "s", "e", "p", "rank", "u", "v"), "long")
     every = written(_mapped(rows.where(F.length("text") >= length), _unit_rows(length, anchor), **whole), "units")
-    twice = lambda df, key: df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
-    live = written(every.join(twice(every, "rank"), "rank"), "live")
+    # ranks that stay are written before rows are joined with them: only then can Spark split a rank of very many rows
+    twice = written(every.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank"), "ranks")
+    live = written(every.join(twice, "rank"), "live")
     remove(every)
+    remove(twice)
     tidy(spark)
     counted = live.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("rank"), F.min(F.struct(*ROW, "s", "e", "p")).alias("one"))
     kinds = written(counted.select("u", "v", "rank", (F.col("n") == 1).alias("open"), "one.*"), "kinds")
     found = [written(live.join(kinds.where("NOT open").select("u", "v"), ["u", "v"], "left_semi").select(*ROW, "s", "e"), "found")]
     remove(live)
-    undecided = lambda df: df.join(df.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("some")).where("n > 1 AND some").select("rank"), "rank")
+    undecided = lambda df: df.join(written(df.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("some")).where("n > 1 AND some").select("rank"), "ranks"), "rank")
     todo = undecided(kinds).groupBy(*ROW).agg(F.collect_list(F.struct("p", "s", "e", "open")).alias("own"))
     contexts = written(_mapped(_of(rows, todo, ROW).select(*ROW, "text", "own"), _context_rows(length), **dict.fromkeys(("doc_id", "mark", "p", "s", "e"), "long"), open="boolean", context="binary"), "contexts")
     remove(kinds)
