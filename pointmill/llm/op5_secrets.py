@@ -1,9 +1,10 @@
 """Secret scans: three pattern kinds, and assignment-aware lexing for what patterns miss.
 
 The lexer reads a text as source or configuration: a target name, an assignment sign, a value. Values are quoted
-literals (also joined by +), bare configuration values, or names of earlier targets. Constants are propagated: a literal
-assigned to one name and then to another counts for both. A literal is a secret (kind named) if its best target name and
-its own look score high enough together.
+literals (also joined by +), bare values of configuration lines (name, sign and value alone on the line), or names of
+other targets; attributes, calls and other expressions are no literals. Constants are propagated to a fixed point: a
+literal counts for every name that it reaches, through any chain of names and in any order of assignments. A literal is
+a secret (kind named) if its best target name and its own look score high enough together.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +38,10 @@ SENSITIVE = [k for k in NAME_PARTS if not any(x in k for x in NAME_PARTS if x !=
 PLACEHOLDER = re.compile(r"example|changeme|placeholder|your|dummy|sample|xxx|\*\*\*|\.\.\.|^\$|^<|^\{|^%|^(?:none|null|true|false|undefined|todo)$", re.IGNORECASE)
 TARGET = re.compile(r"""(?<![\w.\-])([A-Za-z_][\w.\-]*)["'\]]{0,2}[ \t]*(?::[ \t]*[A-Za-z_][\w.]*[ \t]*(?==[^=>]))?(?:=>|:=|=(?!=)|:(?![:/]))[ \t]*""", re.ASCII)
 LITERAL = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`""")
-BARE = re.compile(r"""[^\s"'`,;#(){}\[\]<>]+""")
+#: Bare value up to the end of a line, but for a comment.
+BARE = re.compile(r"""([^\s"'`,;#(){}\[\]<>]+)[ \t]*(?:[#;][^\n]*)?(?=\r?\n|\r?\Z)""")
+#: What may stand before the name on a configuration line.
+LEAD = re.compile(r"[ \t]*(?:(?:export|set|SET|ENV|-)[ \t]+)?[\"']?")
 JOINED = re.compile(r"[ \t]*\+[ \t]*")
 NAME = re.compile(r"[A-Za-z_][\w.]*", re.ASCII)
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -66,11 +71,14 @@ def literal_score(value: str) -> float:
     return min(1.0, 0.25 * (n >= 8) + 0.15 * (n >= 16) + 0.15 * min(entropy, 4) + 0.15 * (mixed - 1))
 
 
-def assignments(text: str) -> list[tuple[str, list[tuple[int, int]], str]]:
+def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]], str]]:
     """(target, spans of its literals, name that it is set to or '') in order."""
-    out, at, key, line_end = [], 0, "", 0
+    at, key, line, line_end = 0, "", 0, -1
     while m := TARGET.search(text, at):
         at, target, spans, other = m.end(), m[1], [], ""
+        if m.start() > line_end:
+            line, line_end, key = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start()), ""
+            line_end = len(text) if line_end < 0 else line_end
         while lit := LITERAL.match(text, at):
             k = next(k for k in (1, 2, 3) if lit[k] is not None)
             spans.append(lit.span(k))
@@ -79,18 +87,22 @@ def assignments(text: str) -> list[tuple[str, list[tuple[int, int]], str]]:
                 break
             at = plus.end()
         if not spans and (bare := BARE.match(text, at)):
-            if NAME.fullmatch(bare[0]):
-                other = bare[0]
-            spans.append(bare.span())
-            # a bare value may itself hold name=value pairs: look on right after the sign
-        if m.start() > line_end:
-            key, line_end = "", text.find("\n", m.start()) % (len(text) + 1)
+            name = NAME.fullmatch(bare[1])
+            sign = m[0][len(m[1]) :].strip("\"'] \t")
+            tight = m.end() - m.start() == len(m[1]) + len(sign)
+            alone = LEAD.fullmatch(text, line, m.start()) is not None
+            # a plain name is another target, but after name= on a line of its own, and where digits show that it is none
+            if alone and (not name or sign == "=" and tight or sign == ":" and any(c.isdigit() for c in bare[1])):
+                spans.append(bare.span(1))
+            if name:
+                other = bare[1]
+        elif not spans and (name := NAME.match(text, at)) and text[name.end() : name.end() + 1] in (";", ","):
+            other = name[0]
         if target.lower() in ("key", "name") and spans:
             key = text[spans[0][0] : spans[-1][1]]
         elif target.lower() == "value" and key:
             target = key
-        out.append((target, spans, other))
-    return out
+        yield target, spans, other
 
 
 def named_spans(text: str, threshold: float = 0.6) -> list[tuple[int, int, int]]:
@@ -98,19 +110,29 @@ def named_spans(text: str, threshold: float = 0.6) -> list[tuple[int, int, int]]
     low = text.lower()
     if not any(k in low for k in SENSITIVE):
         return []
-    held: dict[str, list[tuple[int, int]]] = {}
-    best: dict[tuple[int, int], float] = {}
+    held: dict[str, list[list[tuple[int, int]]]] = {}
+    refers: dict[str, list[str]] = {}
     for target, spans, other in assignments(text):
-        score = name_score(target)
-        if other and other in held:
-            spans = held[other]
-        if not spans:
-            continue
-        held[target] = spans
-        if score > 0:
-            quality = literal_score("".join(text[a:b] for a, b in spans))
-            for span in spans:
-                best[span] = max(best.get(span, 0.0), score * quality)
+        if spans:
+            held.setdefault(target, []).append(spans)
+        if other and other != target:
+            refers.setdefault(target, []).append(other)
+    # from the highest score down, so that each name is visited once, with the best score that reaches it
+    best: dict[tuple[int, int], float] = {}
+    seen: set[str] = set()
+    for name in sorted({*held, *refers}, key=name_score, reverse=True):
+        score, todo = name_score(name), [name]
+        if score <= 0:
+            break
+        while todo:
+            if (own := todo.pop()) in seen:
+                continue
+            seen.add(own)
+            todo += refers.get(own, ())
+            for spans in held.get(own, ()):
+                quality = literal_score("".join(text[a:b] for a, b in spans))
+                for span in spans:
+                    best[span] = max(best.get(span, 0.0), score * quality)
     return sorted((a, 3, b) for (a, b), s in best.items() if s >= threshold and b > a)
 
 
@@ -124,7 +146,7 @@ FOUND = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KIN
 def _work(columns: list[list]) -> list[list]:
     out: list[list] = [[] for _ in FOUND]
     for doc_id, raw in zip(*columns, strict=True):
-        text = raw.decode()
+        text = raw.decode("utf-8", "replace")
         base = base_spans(text)
         more = named_spans(text)
         count = Counter(k for _, k, _ in base)
@@ -136,8 +158,9 @@ def _work(columns: list[list]) -> list[list]:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, counts by kind, base_sha256 and spans (kind:start:end in code points).
 
-    A null text is empty: no spans. Null and repeated ids and rows come through. Only doc_id and text are read. Equal
-    starts are ordered by kind as in KINDS.
+    A null text is empty: no spans. Null and repeated ids and rows come through, and an empty table gives an empty result.
+    Texts of any length are read whole, in time that follows their length. Only doc_id and text are read, so other columns
+    may have any names. Equal starts are ordered by kind as in KINDS. Bytes that are no UTF-8 count as U+FFFD.
     """
     rows = docs.select(F.col("doc_id").cast("long"), text_bytes())
     return rows.mapInArrow(by_slices(_work, FOUND), ", ".join(["doc_id long", *(f"n_{k} long" for k in KINDS), "base_sha256 string", "spans string"]))
