@@ -3,8 +3,8 @@
 Spark counts in how many documents each long line occurs, by line hash. The frequent ones are split into shards by hash;
 a task builds each shard's minimal perfect hash (levels of bit arrays; a key that collides goes on to the next level) and
 the arrays that it indexes: a 64-bit fingerprint, the count and the largest document id. Documents hash their lines
-and probe the arrays. The shards are sent to all executors only if their size, known from the exact number of keys, is
-within a bound; beyond it the line hashes are joined instead.
+and probe the arrays. The shards are sent to all executors if their size, known from the exact number of keys, is within
+a bound; beyond it the hashes of lines go to the shards: each task gets a shard and a part of its lines, and probes it.
 """
 
 from __future__ import annotations
@@ -15,14 +15,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pointmill.llm.common import BLANKS, by_slices, lower_ascii, remove, text_bytes, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Keys of one shard; bytes that a key takes in it, at most; bytes of all shards up to which they are sent to executors.
-SHARD_KEYS, KEY_BYTES, INDEX_BYTES = 100_000, 32, 64 << 20
+#: Keys of one shard; bytes that a key takes in it, at most; bytes of all shards up to which they are sent to executors;
+#: beyond that, tasks among which a shard's lines are dealt out.
+SHARD_KEYS, KEY_BYTES, INDEX_BYTES, PARTS = 100_000, 32, 64 << 20, 8
 LEVELS, GAMMA = 24, 2.0
 NO_ID = np.iinfo(np.int64).min
 
@@ -87,43 +90,60 @@ def frequent(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.array_distinct(F.filter(line_keys(F.col("text")), lambda k: k.isNotNull())).alias("keys"))
     one = own.select("id", F.explode("keys").alias("k")).select("id", "k.h", "k.g")
-    found = one.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs)
-    # two frequent lines with one first hash: the more frequent one stays indexed
-    return found.groupBy("h").agg(F.max(F.struct("n", "g", "last")).alias("x")).select("h", "x.g", "x.n", "x.last")
+    return one.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs)
+
+
+Shard = tuple[PerfectHash, np.ndarray, np.ndarray, np.ndarray, dict[tuple[int, int], int]]
+
+
+def shard_of(h: np.ndarray, g: np.ndarray, n: np.ndarray, last: np.ndarray) -> Shard:
+    """The hash, the fingerprints, counts and last ids that it indexes, and the last ids of keys whose h another key has."""
+    _, first = np.unique(h, return_index=True)
+    mph = PerfectHash(h[first].view(np.uint64))
+    at = mph.index(h[first].view(np.uint64))
+    prints, counts, ids = np.zeros(len(first), np.int64), np.zeros(len(first), np.uint32), np.zeros(len(first), np.int64)
+    prints[at], counts[at], ids[at] = g[first], np.minimum(n[first], 2**32 - 1), last[first]
+    rest = np.setdiff1d(np.arange(len(h)), first)
+    return mph, prints, counts, ids, {(int(h[i]), int(g[i])): int(last[i]) for i in rest}
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    keys = pdf["h"].to_numpy(np.int64).view(np.uint64)
-    mph = PerfectHash(keys)
-    at = mph.index(keys)
-    prints, counts, last = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.int64)
-    prints[at] = pdf["g"].to_numpy(np.int64)
-    counts[at] = np.minimum(pdf["n"].to_numpy(np.int64), 2**32 - 1)
-    last[at] = pdf["last"].fillna(NO_ID).to_numpy(np.int64)
-    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "arrays": [pickle.dumps((mph, prints, counts, last))]})
-
-
-def build_index(keys: DataFrame, n: int) -> tuple[int, dict[int, bytes]]:
-    """The number of shards, and each shard's pickled hash and arrays."""
+    shard = shard_of(*(pdf[c].to_numpy(np.int64) for c in ("h", "g", "n", "last")))
+    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "arrays": [pickle.dumps(shard)]})
+
+
+def index_shards(keys: DataFrame, n: int) -> tuple[int, DataFrame]:
+    """The number of shards, and a row for each with its pickled hash and arrays."""
     shards = max(1, -(-n // SHARD_KEYS))
     rows = keys.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
     # pandas keeps 64-bit ids whole only without nulls
     rows = rows.withColumn("last", F.coalesce("last", F.lit(NO_ID)))
-    return shards, {r["shard"]: bytes(r["arrays"]) for r in rows.groupBy("shard").applyInPandas(_build, "shard int, arrays binary").toLocalIterator()}
+    return shards, rows.groupBy("shard").applyInPandas(_build, "shard int, arrays binary")
 
 
-def _drops(index: tuple[int, dict[int, tuple]], ids: list, h: np.ndarray, g: np.ndarray, shard: np.ndarray, owner: np.ndarray) -> np.ndarray:
+def _gone(shard: Shard, h: np.ndarray, g: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Of each line, whether it goes: its key is indexed and its document isn't the last that holds it."""
+    mph, prints, _, last, rest = shard
+    out = np.zeros(len(h), bool)
+    if len(h) and len(prints):
+        at = mph.index(h.view(np.uint64))
+        mine = np.flatnonzero((at >= 0) & (at < len(prints)))
+        mine = mine[prints[at[mine]] == g[mine]]
+        held = last[at[mine]]
+        out[mine] = (held != own[mine]) & (held != NO_ID)
+    for i in np.flatnonzero(np.isin(h, [k for k, _ in rest])) if rest else ():
+        held = rest.get((int(h[i]), int(g[i])), NO_ID)
+        out[i] |= held not in (own[i], NO_ID)
+    return out
+
+
+def _drops(index: tuple[int, dict[int, Shard]], ids: list, h: np.ndarray, g: np.ndarray, shard: np.ndarray, owner: np.ndarray) -> np.ndarray:
     out = np.zeros(len(h), bool)
     own = np.array([NO_ID if i is None else i for i in ids], np.int64)
-    for s, (mph, prints, _, last) in index[1].items():
+    for s, arrays in index[1].items():
         mine = np.flatnonzero(shard == s)
-        if len(mine) and len(prints):
-            at = mph.index(h[mine].view(np.uint64))
-            known = (at >= 0) & (at < len(prints))
-            mine, at = mine[known], at[known]
-            same = prints[at] == g[mine]
-            out[mine[same]] = last[at[same]] != own[owner[mine[same]]]
+        if len(mine):
+            out[mine] = _gone(arrays, h[mine], g[mine], own[owner[mine]])
     return out
 
 
@@ -158,14 +178,15 @@ def dedup(docs: DataFrame, keep: list[str], min_docs: int = MIN_DOCS, index_byte
     """The columns `keep` of docs, and n_lines, n_dropped and kept, the text without its dropped lines.
 
     A null or empty text is one empty line, and kept is then ''. Each row counts as a document, so repeated rows with one
-    id all hold the line, and all keep it if theirs is the largest id. A null id is below every other; if only null ids
+    id all hold the line, and all keep it if theirs is the largest id. Texts may be of any length. A null id is below every other; if only null ids
     hold a line, none loses it. Other columns than doc_id, text and `keep` are not read; keep must not name the new ones.
     """
     keys = written(frequent(docs, min_docs), "lines")
     n = keys.count()
     rows = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)), F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
     if n * KEY_BYTES <= index_bytes:
-        shards, blobs = build_index(keys, n)
+        shards, built = index_shards(keys, n)
+        blobs = {r["shard"]: bytes(r["arrays"]) for r in built.toLocalIterator()}  # index_bytes at most
         remove(keys)
         shared = docs.sparkSession.sparkContext.broadcast((shards, blobs))
         probe = rows.select("_id", text_bytes("_text").alias("_t"), line_keys(F.col("_text")).alias("_k"), *(f"_{i}" for i in range(len(keep))))
@@ -178,20 +199,58 @@ def dedup(docs: DataFrame, keep: list[str], min_docs: int = MIN_DOCS, index_byte
         arrow = pa.schema([*((f"_{i}", to_arrow_type(f.dataType)) for i, f in enumerate(types)), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())])
         out = probe.mapInArrow(by_slices(_probe(shared, len(keep)), arrow), kind)
     else:
-        out = _joined(rows, keys, len(keep))
+        out = _dealt(rows, *index_shards(keys, n), docs.select(*(F.col(f"`{c}`") for c in keep)).schema)
     return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), "n_lines", "n_dropped", "kept")
 
 
-def _joined(rows: DataFrame, keys: DataFrame, extra: int) -> DataFrame:
-    """The same by joins, for an index over the bound: only hashes of lines are shuffled, then places back to documents."""
+def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard, each shard's arrays before its lines: the lines that go."""
+    arrays, now = None, None
+    for batch in batches:
+        shard = batch.column("shard").to_numpy()
+        for at in np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))).tolist():
+            rows = batch.slice(at, int(np.searchsorted(shard[at:], shard[at], "right")))
+            if shard[at] != now:
+                now, arrays = shard[at], pickle.loads(rows.column("arrays")[0].as_py())  # noqa: S301
+                rows = rows.slice(1)
+            long = lambda c, rows=rows: rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
+            own = pa.compute.fill_null(rows.column("id"), NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+            gone = _gone(arrays, long("h"), long("g"), own) if len(rows) else np.zeros(0, bool)
+            yield rows.filter(pa.array(gone)).select(["id", "mark", "at"])
+
+
+def _cut(extra: int):  # noqa: ANN202
+    def work(columns: list[list]) -> list[list]:
+        kept, lengths, dropped = [], [], []
+        for text, gone in zip(*columns[:2], strict=True):
+            lines, out = text.split(b"\n"), set(gone or ())
+            lengths.append(len(lines))
+            dropped.append(len(out))
+            kept.append(text.decode() if not out else b"\n".join(x for i, x in enumerate(lines) if i not in out).decode())
+        return [*columns[2 : 2 + extra], lengths, dropped, kept]
+
+    return work
+
+
+def _dealt(rows: DataFrame, shards: int, built: DataFrame, types: StructType) -> DataFrame:
+    """The same for an index over the bound: hashes of lines are shuffled to their shards, then places back to documents."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    extra = len(types)
     rows = rows.withColumn("_text", F.coalesce("_text", F.lit(""))).withColumn("_mark", F.xxhash64("_text"))
-    lines = rows.select("_id", "_mark", F.posexplode(line_keys(F.col("_text"))).alias("_at", "_k")).where(F.col("_k").isNotNull())
-    hit = lines.join(keys, (F.col("_k.h") == F.col("h")) & (F.col("_k.g") == F.col("g"))).where(F.col("last").isNotNull() & ~F.col("_id").eqNullSafe(F.col("last")))
-    gone = hit.groupBy(F.col("_id").alias("_i"), F.col("_mark").alias("_m")).agg(F.collect_set("_at").alias("_gone"))
-    both = rows.join(gone, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_mark") == F.col("_m")), "left")
-    lines = F.split("_text", "\n")
-    kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull()), "\n"))
-    return both.select(*(f"_{i}" for i in range(extra)), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("_gone").cast("long"), F.lit(0)).alias("n_dropped"), kept.alias("kept"))
+    lines = rows.select(F.col("_id").alias("id"), F.col("_mark").alias("mark"), F.posexplode(line_keys(F.col("_text"))).alias("at", "k")).where("k IS NOT NULL")
+    lines = lines.select(F.pmod(F.xxhash64("k.h"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("id", "mark", "at"), F.lit(PARTS)).cast("int").alias("part"), "id", "mark", "at", "k.h", "k.g")
+    null = lambda kind: F.lit(None).cast(kind)
+    arrays = written(built, "shards").select("shard", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), null("long").alias("id"), null("long").alias("mark"), null("int").alias("at"), null("long").alias("h"), null("long").alias("g"), "arrays")
+    both = arrays.unionByName(lines.withColumn("arrays", null("binary"))).repartition("shard", "part").sortWithinPartitions("part", "shard", F.col("arrays").isNull())
+    # shard and part make one number, so that each pair of them begins with its arrays
+    both = both.withColumn("shard", F.col("part") * shards + F.col("shard"))
+    hit = both.select("shard", "id", "mark", "at", "h", "g", "arrays").mapInArrow(_stream, "id long, mark long, at int")
+    gone = hit.groupBy(F.col("id").alias("_i"), F.col("mark").alias("_m")).agg(F.collect_set("at").alias("_gone"))
+    found = rows.join(gone, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_mark") == F.col("_m")), "left")
+    kind = ", ".join([*(f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(types)), "n_lines long", "n_dropped long", "kept string"])
+    arrow = pa.schema([*((f"_{i}", to_arrow_type(f.dataType)) for i, f in enumerate(types)), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())])
+    return found.select(text_bytes("_text"), "_gone", *(f"_{i}" for i in range(extra))).mapInArrow(by_slices(_cut(extra), arrow), kind)
 
 
 def digest(docs: DataFrame) -> DataFrame:
