@@ -29,6 +29,8 @@ from pointmill.llm.common import by_slices, text_bytes
 EDITS, RECALL = 0.2, 0.995
 #: Steps drawn in a repetition; fewer are drawn for lengths that would need more than TIMES repetitions.
 DRAWN, TIMES = 3, 64
+#: Steps of a walk for each word.
+STEPS = 3
 #: Pairs of an item and its edited copy, and walks over each, from which repetitions are reckoned; symbols embedded at once.
 PAIRS, WALKS, SYMBOLS = 100, 50, 8 << 20
 #: Items that are sent to all executors at once, and bytes of their texts; more are searched block after block.
@@ -55,25 +57,22 @@ def _random(*parts: np.ndarray | int) -> np.ndarray:
 
 
 def embed(ids: np.ndarray, times: int) -> np.ndarray:
-    """CGK walks over rows of word ids (above 0; 0 stands past the end): 2n symbols for each repetition and row.
-
-    A walk of 3n steps has mostly left the text in its last third, so that part is not written.
-    """
+    """CGK walks over rows of word ids (above 0; 0 stands past the end): 3n symbols for each repetition and row."""
     m, n = ids.shape
     padded = np.concatenate((ids, np.zeros((m, 1), ids.dtype)), axis=1)
     repetition, row = (x.ravel() for x in np.meshgrid(np.arange(times), np.arange(m), indexing="ij"))
-    at, out = np.zeros(len(row), np.int64), np.empty((len(row), 2 * n), np.int32)
-    for step in range(2 * n):
+    at, out = np.zeros(len(row), np.int64), np.empty((len(row), STEPS * n), np.int32)
+    for step in range(STEPS * n):
         symbol = padded[row, at]
         out[:, step] = symbol
         at = np.minimum(at + (_random(repetition, step, symbol) >> np.uint64(63)).astype(np.int64), n)
-    return out.reshape(times, m, 2 * n)
+    return out.reshape(times, m, STEPS * n)
 
 
 @lru_cache(100_000)
 def drawn_steps(n: int, repetition: int, drawn: int = DRAWN) -> np.ndarray:
     """The steps that a repetition draws."""
-    return np.sort((_random(repetition, np.arange(drawn), 99) % np.uint64(max(1, 2 * n))).astype(np.int64))
+    return np.sort((_random(repetition, np.arange(drawn), 99) % np.uint64(max(1, STEPS * n))).astype(np.int64))
 
 
 def distance(item: list[int], stretch: list[int]) -> tuple[int, int]:
@@ -174,7 +173,7 @@ class Items:
 
     def _at_once(self, n: int) -> int:
         """How many rows of n words are embedded at once."""
-        return max(1, min(512, SYMBOLS // (self.plan[n][1] * 2 * n)))
+        return max(1, min(512, SYMBOLS // (self.plan[n][1] * STEPS * n)))
 
     def _keys(self, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Each repetition with the symbols that it draws of each row."""
@@ -277,7 +276,8 @@ def item_blocks(benchmark: DataFrame, most: int = BLOCK_ITEMS, most_bytes: int =
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, distance, start_word and end_word: one row for each row of docs and item that it holds.
 
-    A document without text holds nothing; an item without words is held by nothing; items with a null id are left out.
+    A document without text holds nothing; an item without words is held by nothing; items with a null id are left out, and
+    without items the result is empty. A text of any length is searched whole; memory follows the longest one.
     A null doc_id comes through; repeated rows give repeated results. Of several places with one item the first with the
     least distance found is given. Columns besides doc_id, item_id and text are not read. Items beyond one block's bound
     are searched block after block, each over all documents.
@@ -298,7 +298,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item, all columns as they are; equal rows have equal verdicts."""
-    marked = docs.select(F.col("doc_id").cast("long"), "text")
-    found = leaks(marked, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_leak")), "left_anti")
+    """The rows of docs that hold no item, all columns as they are.
+
+    Each row is judged by its own text, so null and repeated ids don't matter; a null text holds nothing and stays. No row
+    is shuffled. Columns may have any names.
+    """
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    kind = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
+    out = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)))
+    text = names[docs.columns.index("text")]
+    for number, block in enumerate(item_blocks(benchmark)):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            items = _prepared(number, shared.value)
+            for batch in batches:
+                # one text at a time is held
+                stays = [not items.search(batch.column(0)[i].as_py()) for i in range(batch.num_rows)]
+                yield batch.filter(pa.array(stays, pa.bool_())).select(range(1, batch.num_columns))
+
+        out = out.select(text_bytes(text), *names).mapInArrow(work, kind)
+    return out.toDF(*docs.columns)

@@ -274,25 +274,51 @@ def near_links(prints: DataFrame, chosen: list[tuple[list[int], int]], limit: in
     return sorted_rows.mapInArrow(_verify(limit), "a long, b long")
 
 
+def rooted(classes: DataFrame, limit: int = LIMIT, parts: int = PARTS, cell: int = CELL) -> DataFrame:
+    """classes (distinct fingerprints in fp, other columns as they are) with root, one fingerprint for each component."""
+    chosen = plan(classes, limit, parts)
+    links = written(near_links(classes, chosen, limit, cell), "near")
+    if links.isEmpty():
+        return classes.withColumn("root", F.col("fp"))
+    roots = written(components(links).withColumnsRenamed({"node": "fp"}), "roots")
+    remove(links)
+    return classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def cluster(docs: DataFrame, limit: int = LIMIT, parts: int = PARTS, cell: int = CELL) -> DataFrame:
     """One row per row of docs: doc_id, fp (signed long) and component_id, the smallest doc_id reachable by links.
 
-    A null or blank text has fingerprint 0, which links like any other. A null doc_id is never the smallest unless a
-    component has no other; repeated rows are equal and share a component. Only doc_id and text are read. An empty table
-    gives an empty result.
+    A null or blank text has fingerprint 0, which links like any other. A text of any length is read whole. A null doc_id is
+    never the smallest unless a component has no other; repeated rows are equal and share a component. Only doc_id and
+    text are read, so other columns may have any names. An empty table gives an empty result.
     """
     rows = written(fingerprints(docs), "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    chosen = plan(classes, limit, parts)
-    links = written(near_links(classes, chosen, limit, cell), "near")
-    if links.isEmpty():
-        named = classes.select("fp", F.col("least").alias("component_id"))
-    else:
-        roots = written(components(links).withColumnsRenamed({"node": "fp"}), "roots")
-        rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-        named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(written(named, "named"), "fp").select("doc_id", "fp", "component_id")
+    found = rooted(classes, limit, parts, cell)
+    least = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = written(found.join(least, "root").select("fp", "component_id"), "named")
+    remove(classes)
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def first_of_groups(docs: DataFrame, limit: int = LIMIT, parts: int = PARTS, cell: int = CELL) -> DataFrame:
+    """One row of docs for each component of fingerprints, all columns: that of the smallest doc_id, null last.
+
+    Rows without words (null and blank texts too) all stay and link to none. The choice is by row, not by id: of rows that
+    share an id, or are alike, one stays. An empty table gives an empty result. Columns may have any names but _row.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    kind = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64())])
+    work = lambda columns: [columns[0], *_fingerprints(columns[1:])]
+    prints = written(rows.select("_row", F.col("doc_id").cast("long"), text_bytes()).mapInArrow(by_slices(work, kind), "row long, doc_id long, fp long").where("fp <> 0"), "fingerprints")
+    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    classes = written(prints.groupBy("fp").agg(one.alias("one")), "classes")
+    # what goes is fewer than what stays
+    stays = written(rooted(classes, limit, parts, cell).groupBy("root").agg(F.min("one").alias("one")).select("one.row"), "stays")
+    goes = written(prints.select("row").join(stays, "row", "left_anti").select(F.col("row").alias("_gone")), "goes")
+    for done in (prints, classes, stays):
+        remove(done)
+    return rows.join(goes, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -6,13 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from pointmill.llm import op1_quality, op2_toxicity, op3_bpe, op4_decontaminate, op5_secrets, op6_substrings, op7_lines, op8_simhash, op9_sharding, op10_quality
-from pointmill.llm.common import table
-
-
-def vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
+from pointmill.llm.common import table, vocabulary
 
 
 def op1_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
