@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
-columns of documents.
+columns of documents. Stages judge rows, not ids: rows with a null or a repeated doc_id are kept or dropped each by its own
+text. A null text is an empty one; an empty table gives an empty result; columns besides those of documents are dropped.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointmill.llm import op3_bpe, op4_decontaminate, op7_lines, op8_simhash, op10_quality
-from pointmill.llm.common import DOCUMENT_COLUMNS, table, written
+from pointmill.llm.common import DOCUMENT_COLUMNS, table, vocabulary, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,20 +27,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one of the smallest id; documents without words all stay."""
-    found = op8_simhash.cluster(docs)
-    first = found.where("fp = 0 OR doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*DOCUMENT_COLUMNS)
+    return op8_simhash.first_of_groups(docs.select(*DOCUMENT_COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return op4_decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*DOCUMENT_COLUMNS)
+    return op4_decontaminate.clean(docs.select(*DOCUMENT_COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids and decoded texts as digests."""
-    from pointmill.llm.queries import vocabulary
-
     return op3_bpe.encode(docs, vocabulary(), digest=True)
 
 
