@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Names of the published classification codes from 0 on.
+#: The labels of the classification codes from 0 on; codes beyond them have none.
 CLASSES = [
     "Created, never classified", "Unclassified", "Ground", "Low vegetation", "Medium vegetation", "High vegetation", "Building", "Low point",
-    "Model key-point", "Water", "Rail", "Road surface", "Overlap", "Wire guard", "Wire conductor", "Transmission tower", "Wire connector",
+    "Model key point", "Water", "Rail", "Road surface", "Overlap points", "Wire guard", "Wire conductor", "Transmission tower", "Wire structure connector",
     "Bridge deck", "High noise", "Overhead structure", "Ignored ground", "Snow", "Temporal exclusion",
 ]
 
@@ -32,6 +35,30 @@ def class_label(code: Column | str) -> Column:
     return F.get(names, F.col(code).cast("int") if isinstance(code, str) else code.cast("int"))
 
 
+#: Meaning of the bits of the global encoding, by the published layout.
+ENCODINGS = ["GPS time", "Waveform data internal", "Waveform data external", "Synthetic return numbers", "WKT"]
+
+
+def encoding_text(flags: Column | str) -> Column:
+    """The set bits of a global encoding in words, separated by commas."""
+    return F.concat_ws(", ", *(F.when(bits(flags, k, 1) == 1, F.lit(name)) for k, name in enumerate(ENCODINGS)))
+
+
+#: Context of a record by its number of returns and return number, 8 by 8.
+RETURN_CONTEXTS = "FEDCBA98E0136AA9D1247BBAC3458CCBB6789DDCAABCDEED9ABCDEFE89ABCDEF"
+
+
+def return_context(number_of_returns: Column | str, return_number: Column | str) -> Column:
+    """The context of a record of formats 0 to 5, by which intensities are compared."""
+    at = packed((return_number, 0), (number_of_returns, 3))
+    return F.conv(F.substring(F.lit(RETURN_CONTEXTS), at + 1, F.lit(1)), 16, 10).cast("int")
+
+
+def digitized(sample: Column, gain: Column | float, offset: Column | float) -> Column:
+    """The units of a digitizer's sample."""
+    return sample * gain + offset
+
+
 def saturated(value: Column) -> Column:
     """The value within 0 to 255."""
     return F.least(F.greatest(value, F.lit(0)), F.lit(255))
@@ -42,9 +69,34 @@ def wrapped32(value: Column) -> Column:
     return F.pmod(value + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
 
 
+def streaming_medians(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """key, order and median: for each key's numbers in order, the approximate median after each.
+
+    Five sorted slots, from which the largest or the smallest goes, by turns that the last values set. Rows are sorted
+    within tasks and stream through them, so a key of any length takes the memory of one batch.
+    """
+    from pointmill.codec.coder import Median
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, median = None, Median()
+        for batch in batches:
+            out = []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if k != now:
+                    now, median = k, Median()
+                median.add(v)
+                out.append(median.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=[key, order, "median"])
+
+    dealt = rows.select(*(F.col(c).cast("long") for c in (key, order, value))).repartition(key).sortWithinPartitions(key, order)
+    return dealt.mapInArrow(run, f"{key} long, {order} long, median long")
+
+
 def streaming_median(values: Column | str) -> Column:
-    """For an array of numbers in order, the approximate median after each: five sorted slots, from which the largest or
-    the smallest goes, by turns that the last values set. A null array gives null."""
+    """For an array of numbers in order, the approximate median after each, as an array. A null array gives null.
+
+    For short arrays; streaming_medians does the same for rows.
+    """
     kind = "struct<slots:array<bigint>,largest:boolean,out:array<bigint>>"
     start = F.struct(F.array_repeat(F.lit(0).cast("long"), 5).alias("slots"), F.lit(True).alias("largest"), F.array().cast("array<bigint>").alias("out")).cast(kind)
 

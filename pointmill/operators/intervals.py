@@ -32,6 +32,38 @@ def runs(points: DataFrame, block: int = BLOCK) -> DataFrame:
     return inner.unionByName(edge.select("cell", "start", "end"))
 
 
+def running(rows: DataFrame, order: str, value: str, name: str, block: int = BLOCK) -> DataFrame:
+    """rows with `name`, the sum of value over all rows of smaller order (whole numbers, unique).
+
+    Sums by block of orders are added up in order, then sums within each block: no task sees all rows.
+    """
+    dealt = rows.withColumn("_block", _block(order, block))
+    sums = dealt.groupBy("_block").agg(F.sum(value).alias("_sum"))
+    # one row for each block
+    base = sums.select("_block", F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.join(base, "_block").withColumn(name, F.col("_base") + own).drop("_block", "_base")
+
+
+def previous(rows: DataFrame, order: str, value: str, name: str, block: int = BLOCK) -> DataFrame:
+    """rows with `name`, the value of the row of the next smaller order (whole numbers, unique), 0 for the first."""
+    dealt = rows.withColumn("_block", _block(order, block))
+    lasts = dealt.groupBy("_block").agg(F.max_by(value, order).alias("_last"))
+    before = lasts.select("_block", F.lag("_last", 1, 0).over(Window.orderBy("_block")).alias("_before"))  # one row for each block
+    own = F.lag(value).over(Window.partitionBy("_block").orderBy(order))
+    return dealt.join(before, "_block").withColumn(name, F.coalesce(own, "_before")).drop("_block", "_before")
+
+
+def chunks_meeting(intervals: DataFrame, chunks: DataFrame, block: int = BLOCK) -> DataFrame:
+    """chunk_id of the chunks (chunk_id, first_point, n_points, of any sizes) that the intervals meet; what lies beyond the
+    last point meets none. Both sides are cut at blocks of points, so the join has equal keys."""
+    cut = lambda df, a, b: df.withColumn("_block", F.explode(F.sequence(F.floor(a / block), F.floor(b / block))))
+    last = F.col("first_point") + F.col("n_points") - 1
+    held = cut(chunks.where("n_points > 0").select("chunk_id", "first_point", last.alias("last_point")), F.col("first_point"), F.col("last_point"))
+    wanted = cut(intervals.select("start", "end"), F.col("start"), F.col("end"))
+    return wanted.join(held, "_block").where("start <= last_point AND end >= first_point").select("chunk_id").distinct()
+
+
 def chunks_of(intervals: DataFrame, chunk: int) -> DataFrame:
     """chunk_id: the distinct chunks of a fixed size that the intervals meet."""
     size = F.lit(chunk)
@@ -54,8 +86,7 @@ def reordered(points: DataFrame, block: int = BLOCK) -> DataFrame:
     dealt = points.withColumn("block", _block(block=block))
     counts = dealt.groupBy("cell", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("cell").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each cell, not for each point
-    cells = counts.groupBy("cell").agg(F.sum("n").alias("n")).select(F.col("cell"), F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    cells = running(counts.groupBy("cell").agg(F.sum("n").alias("n")), "cell", "n", "base").select("cell", "base")
     first = counts.join(cells, "cell").select("cell", "block", (F.col("base") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("first"))
     own = Window.partitionBy("cell", "block").orderBy("point_index")
     return dealt.join(first, ["cell", "block"]).withColumn("new_index", F.col("first") + F.row_number().over(own) - 1).drop("block", "first")

@@ -43,22 +43,30 @@ def offset(level: int) -> int:
     return (4**level - 1) // 3
 
 
-def cell(x: Column | str, y: Column | str, box: Box, level: int) -> Column:
-    """The cell of a place at a level; 0 at level 0 or in a box without extent."""
+def _sizes(box: Box, level: int) -> Column:
+    """Widths and heights of the cells of levels 1 to `level`: the box's, halved again and again."""
+    return F.array(*(F.struct(F.lit((box.max_x - box.min_x) / 2.0**k).alias("w"), F.lit((box.max_y - box.min_y) / 2.0**k).alias("h")) for k in range(1, level + 1)))
+
+
+def cell(x: Column | str, y: Column | str, box: Box, level: int, levels: int = MOST_LEVELS) -> Column:
+    """The cell of a place at a level, the deepest one where there are fewer; 0 at level 0 or in a box without extent.
+
+    A middle line lies one size from the half's lower border: sizes are halved and added, never averaged.
+    """
+    level = min(level, levels)
     if level < 1 or box.max_x <= box.min_x or box.max_y <= box.min_y:
         return F.lit(0).cast("long")
     x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
-    mid = lambda s, a: (s[f"l{a}"] + s[f"h{a}"]) / 2
-    kind = "struct<lx:double,hx:double,ly:double,hy:double,path:bigint>"
-    start = F.struct(*(F.lit(v) for v in (box.min_x, box.max_x, box.min_y, box.max_y)), F.lit(0).cast("long")).cast(kind)
+    kind = "struct<x:double,y:double,path:bigint>"
+    start = F.struct(F.lit(box.min_x), F.lit(box.min_y), F.lit(0).cast("long")).cast(kind)
 
-    def step(s: Column, _: Column) -> Column:
-        right, top, mx, my = x >= mid(s, "x"), y >= mid(s, "y"), mid(s, "x"), mid(s, "y")
-        cut = [F.when(right, mx).otherwise(s["lx"]), F.when(right, s["hx"]).otherwise(mx), F.when(top, my).otherwise(s["ly"]), F.when(top, s["hy"]).otherwise(my)]
-        return F.struct(*cut, s["path"] * 4 + right.cast("long") + top.cast("long") * 2).cast(kind)
+    def step(s: Column, size: Column) -> Column:
+        mx, my = s["x"] + size["w"], s["y"] + size["h"]
+        right, top = x >= mx, y >= my
+        return F.struct(F.when(right, mx).otherwise(s["x"]), F.when(top, my).otherwise(s["y"]), s["path"] * 4 + right.cast("long") + top.cast("long") * 2).cast(kind)
 
     # an aggregate over the levels: nested conditions would double at each level
-    return F.aggregate(F.sequence(F.lit(1), F.lit(level)), start, step, lambda s: s["path"] + F.lit(offset(level)))
+    return F.aggregate(_sizes(box, level), start, step, lambda s: s["path"] + F.lit(offset(level)))
 
 
 def level_of(number: Column | str) -> Column:
@@ -75,19 +83,24 @@ def ancestor(leaf: Column | str, level: int, up_to: int) -> Column:
 
 
 def cell_bounds(number: str, box: Box) -> Column:
-    """A struct min_x, max_x, min_y, max_y of a cell."""
+    """A struct min_x, max_x, min_y, max_y of a cell; the whole box for cell 0 or a box without extent."""
     kind = "struct<min_x:double,max_x:double,min_y:double,max_y:double>"
-    start = F.struct(*(F.lit(v) for v in (box.min_x, box.max_x, box.min_y, box.max_y))).cast(kind)
+    whole = F.struct(*(F.lit(v) for v in (box.min_x, box.max_x, box.min_y, box.max_y))).cast(kind)
+    if box.max_x <= box.min_x or box.max_y <= box.min_y:
+        return whole
     level, firsts = level_of(number), F.array(*(F.lit(offset(k)) for k in range(MOST_LEVELS + 1)))
     path = F.col(number) - F.get(firsts, level)
+    steps = F.transform(F.slice(_sizes(box, MOST_LEVELS), F.lit(1), level), lambda size, k: F.struct(size.alias("size"), k.alias("k")))
+    start = F.struct(F.lit(box.min_x), F.lit(box.max_x - box.min_x), F.lit(box.min_y), F.lit(box.max_y - box.min_y)).cast("struct<x:double,w:double,y:double,h:double>")
 
-    def step(s: Column, up: Column) -> Column:
-        digit = F.pmod(F.floor(path / F.pow(F.lit(4.0), up)), F.lit(4))
-        right, top = digit % 2 == 1, digit >= 2
-        mx, my = (s["min_x"] + s["max_x"]) / 2, (s["min_y"] + s["max_y"]) / 2
-        return F.struct(F.when(right, mx).otherwise(s["min_x"]), F.when(right, s["max_x"]).otherwise(mx), F.when(top, my).otherwise(s["min_y"]), F.when(top, s["max_y"]).otherwise(my)).cast(kind)
+    def step(s: Column, at: Column) -> Column:
+        digit = F.pmod(F.floor(path / F.pow(F.lit(4.0), level - 1 - at["k"])), F.lit(4))
+        w, h = at["size"]["w"], at["size"]["h"]
+        x, y = s["x"] + F.when(digit % 2 == 1, w).otherwise(0.0), s["y"] + F.when(digit >= 2, h).otherwise(0.0)
+        return F.struct(x, w, y, h).cast("struct<x:double,w:double,y:double,h:double>")
 
-    return F.aggregate(F.when(level > 0, F.sequence(level - 1, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>")), start, step)
+    found = F.aggregate(steps, start, step, lambda s: F.struct(s["x"], s["x"] + s["w"], s["y"], s["y"] + s["h"]).cast(kind))
+    return F.when(level > 0, found).otherwise(whole)
 
 
 def find_cells(leaves: DataFrame, stored: DataFrame, level: int) -> DataFrame:

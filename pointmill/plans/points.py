@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from pointmill.operators.intervals import running
 
 SCALE, CHUNK = 0.01, 500
 
@@ -35,7 +36,10 @@ def header_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points_by_return(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir).where("return_number BETWEEN 1 AND 15").groupBy("return_number").agg(F.count(F.lit(1)).alias("n_points"))
+    """Points by return, for each return from 1 to 15."""
+    counted = points(spark, sf_dir).where("return_number BETWEEN 1 AND 15").groupBy("return_number").agg(F.count(F.lit(1)).alias("n"))
+    spine = spark.range(1, 16).select(F.col("id").alias("return_number"))
+    return spine.join(F.broadcast(counted), "return_number", "left").select("return_number", F.coalesce("n", F.lit(0).cast("long")).alias("n_points"))
 
 
 def pack_bit_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,15 +52,14 @@ def box_filter_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = points(spark, sf_dir).groupBy(F.floor(F.col("point_index") / CHUNK).cast("long").alias("chunk_id")).agg(F.count(F.lit(1)).alias("n_points"))
-    before = Window.orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)  # one row per chunk, not per point
-    return chunks.select("chunk_id", "n_points", F.coalesce(F.sum("n_points").over(before), F.lit(0)).alias("first_point"))
+    return running(chunks, "chunk_id", "n_points", "first_point").select("chunk_id", "n_points", "first_point")
 
 
 QUERIES = {f.__name__: f for f in (world_coords, header_bounds, points_by_return, pack_bit_byte, box_filter_2d, chunk_table)}
 ORACLES = {
     "world_coords": POINTS_SQL + "SELECT point_index, x * CAST(0.01 AS DOUBLE) AS world_x, y * CAST(0.01 AS DOUBLE) AS world_y, z * CAST(0.01 AS DOUBLE) AS world_z FROM points",
     "header_bounds": POINTS_SQL + "SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM points",
-    "points_by_return": POINTS_SQL + "SELECT return_number, count(*) AS n_points FROM points WHERE return_number BETWEEN 1 AND 15 GROUP BY return_number",
+    "points_by_return": POINTS_SQL + "SELECT r AS return_number, count(point_index) AS n_points FROM range(1, 16) t(r) LEFT JOIN points ON return_number = r GROUP BY r",
     "pack_bit_byte": POINTS_SQL + "SELECT point_index, return_number | (number_of_returns << 3) AS bit_byte FROM points",
     "box_filter_2d": POINTS_SQL + "SELECT point_index, x, y FROM points WHERE x BETWEEN 1000 AND 5000 AND y BETWEEN 0 AND 500000",
     "chunk_table": POINTS_SQL + "SELECT chunk_id, n_points, CAST(coalesce(sum(n_points) OVER (ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_point FROM (SELECT point_index // 500 AS chunk_id, count(*) AS n_points FROM points GROUP BY 1)",

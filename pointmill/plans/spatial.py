@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -125,10 +125,24 @@ def _index(p: DataFrame) -> DataFrame:
 
 
 def index_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _celled(spark, sf_dir)[0].select("point_index", "cell", "x", "y")
-    inside = I.within(p, _index(p)).agg(F.count(F.lit(1)).alias("in_intervals"))
-    total = p.agg(F.count(F.lit(1)).alias("n_points"), F.count_distinct("cell").alias("n_cells"))
-    return total.join(F.broadcast(inside)).select("n_points", "n_cells", "in_intervals", (F.col("n_points") - F.col("in_intervals")).alias("not_in_intervals"))
+    """How an index fits its points: points in a run of their cell and in the cell's bounds, shares, cells that the index
+    lacks, and points for each place that the runs hold."""
+    p, box = _celled(spark, sf_dir)
+    p = p.select("point_index", "cell", "x", "y")
+    index = _index(p)
+    found = I.within(p, index).agg(F.count(F.lit(1)).alias("in_intervals"))
+    b = F.col("b")
+    inside = F.col("x").between(b["min_x"], b["max_x"]) & F.col("y").between(b["min_y"], b["max_y"])
+    cells = p.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    total = p.withColumn("b", Q.cell_bounds("cell", box)).agg(F.count(F.lit(1)).alias("n_points"), F.count_if(inside).alias("in_bounds"))
+    lacking = cells.join(index.select("cell").distinct().withColumn("known", F.lit(1)), "cell", "left").agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(F.col("known").isNull()).alias("missing_cells"))
+    held = index.agg(F.coalesce(F.sum(F.col("end") - F.col("start") + 1), F.lit(0)).alias("held"))
+    one = total.join(F.broadcast(found)).join(F.broadcast(lacking)).join(F.broadcast(held))  # a row each
+    n = F.greatest(F.col("n_points"), F.lit(1))
+    return one.select(
+        "n_points", "n_cells", "in_intervals", (F.col("n_points") - F.col("in_intervals")).alias("not_in_intervals"), "in_bounds", "missing_cells", (F.lit(100.0) * F.col("in_intervals") / n).alias("percent_in_intervals"),
+        (F.lit(100.0) * F.col("in_bounds") / n).alias("percent_in_bounds"), F.when(F.col("held") > 0, F.col("n_points") / F.col("held")).otherwise(0.0).alias("efficiency"),
+    )
 
 
 def missing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,21 +159,30 @@ def unused_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir).where("z > 0")
     sizes = p.groupBy(F.floor(F.col("point_index") / CHUNK).cast("long").alias("chunk_id")).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.select("chunk_id", (F.col("n") - F.lag("n", 1, 0).over(Window.orderBy("chunk_id"))).alias("delta"))  # one row per chunk
+    return I.previous(sizes, "chunk_id", "n", "before").select("chunk_id", (F.col("n") - F.col("before")).alias("delta"))
+
+
+def _meets(box: Q.Box) -> Column:
+    """Whether the bounds in b meet QUERY_BOX; edge cells also hold what lies beyond the rounded bounds."""
+    ax, ay, bx, by = QUERY_BOX
+    b = F.col("b")
+    wide = ((b["min_x"] <= bx) | (b["min_x"] <= box.min_x)) & ((b["max_x"] >= ax) | (b["max_x"] >= box.max_x))
+    return wide & ((b["min_y"] <= by) | (b["min_y"] <= box.min_y)) & ((b["max_y"] >= ay) | (b["max_y"] >= box.max_y))
 
 
 def interval_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.chunks_of(I.runs(_celled(spark, sf_dir)[0]).where("cell % 7 = 0"), CHUNK)
+    """The chunks that the runs of the cells which meet QUERY_BOX lie in."""
+    p, box = _celled(spark, sf_dir)
+    cells = p.select("cell").distinct().withColumn("b", Q.cell_bounds("cell", box)).where(_meets(box)).select("cell")
+    return I.chunks_of(I.runs(p.join(cells, "cell", "left_semi")), CHUNK)
 
 
 def box_query_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that meet the box, their runs, the chunks of these, and of the chunks' points those in the box."""
     p, box = _celled(spark, sf_dir)
     ax, ay, bx, by = QUERY_BOX
-    b = F.col("b")
-    # edge cells also hold what lies beyond the rounded bounds
-    meets = ((b["min_x"] <= bx) | (b["min_x"] <= box.min_x)) & ((b["max_x"] >= ax) | (b["max_x"] >= box.max_x)) & ((b["min_y"] <= by) | (b["min_y"] <= box.min_y)) & ((b["max_y"] >= ay) | (b["max_y"] >= box.max_y))
-    index = I.runs(p).withColumn("b", Q.cell_bounds("cell", box)).where(meets)
+    cells = p.select("cell").distinct().withColumn("b", Q.cell_bounds("cell", box)).where(_meets(box)).select("cell")
+    index = I.runs(p.join(cells, "cell", "left_semi"))
     near = p.withColumn("chunk_id", F.floor(F.col("point_index") / CHUNK)).join(I.chunks_of(index, CHUNK), "chunk_id", "left_semi")
     return near.where(F.col("x").between(ax, bx) & F.col("y").between(ay, by)).select("point_index", "x", "y")
 
@@ -199,16 +222,34 @@ def bench_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streaming_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The approximate median after each record of a chunk, in order."""
-    p = points(spark, sf_dir).groupBy(F.floor(F.col("point_index") / CHUNK).cast("long").alias("chunk_id")).agg(F.sort_array(F.collect_list(F.struct("point_index", "x"))).alias("r"))
-    return p.select("chunk_id", C.streaming_median(F.transform("r", lambda v: v["x"])).alias("medians"))
+    p = points(spark, sf_dir).select(F.floor(F.col("point_index") / CHUNK).cast("long").alias("chunk_id"), "point_index", "x")
+    return C.streaming_medians(p, "chunk_id", "point_index", "x")
+
+
+def change_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs from the record before, within a chunk: bits 5 returns, 4 intensity, 3 class, 0 source id.
+
+    Intensity is compared with the last one of the same context, and with 0 where there is none.
+    """
+    chunk = Window.partitionBy("chunk_id").orderBy("point_index")
+    p = points(spark, sf_dir).withColumn("chunk_id", F.floor(F.col("point_index") / CHUNK)).withColumn("m", C.return_context("number_of_returns", "return_number"))
+    fields = ["return_number", "number_of_returns", "classification", "point_source_id"]
+    p = p.select("point_index", "chunk_id", "m", "intensity", *fields, *(F.lag(c).over(chunk).alias(f"last_{c}") for c in fields))
+    p = p.where("last_classification IS NOT NULL")  # a chunk's first record is stored whole
+    light = F.coalesce(F.lag("intensity").over(Window.partitionBy("chunk_id", "m").orderBy("point_index")), F.lit(0))
+    differ = lambda c: F.col(c) != F.col(f"last_{c}")
+    bit = lambda condition, at: F.when(condition, F.lit(1 << at)).otherwise(F.lit(0))
+    mask = bit(differ("return_number") | differ("number_of_returns"), 5) + bit(F.col("intensity") != light, 4) + bit(differ("classification"), 3) + bit(differ("point_source_id"), 0)
+    return p.select("point_index", mask.alias("mask"))
 
 
 def _cells_sql(level: int) -> str:
-    """A CTE cells: point_index, x, y, the cell's box and its number."""
-    out = POINTS_SQL + ", q0 AS (SELECT point_index, x, y, lx, hx, ly, hy, CAST(0 AS BIGINT) AS path FROM points, (SELECT " + ", ".join(f"CAST(CAST({f}({c}) AS FLOAT) AS DOUBLE) AS {n}{c}" for c in "xy" for f, n in (("min", "l"), ("max", "h"))) + " FROM points))"
+    """A CTE cells: point_index, x, y, the cell's lower corner (lx, ly), size (sx, sy) and number."""
+    out = POINTS_SQL + ", box AS (SELECT " + ", ".join(f"CAST(CAST({f}({c}) AS FLOAT) AS DOUBLE) AS {n}{c}" for c in "xy" for f, n in (("min", "min_"), ("max", "max_"))) + " FROM points)"
+    out += ", q0 AS (SELECT point_index, x, y, min_x AS lx, min_y AS ly, max_x - min_x AS sx, max_y - min_y AS sy, CAST(0 AS BIGINT) AS path FROM points, box)"
     for k in range(level):
-        halves = ", ".join(f"CASE WHEN {c} >= (l{c} + h{c}) / 2 THEN (l{c} + h{c}) / 2 ELSE l{c} END AS l{c}, CASE WHEN {c} >= (l{c} + h{c}) / 2 THEN h{c} ELSE (l{c} + h{c}) / 2 END AS h{c}" for c in "xy")
-        out += f", q{k + 1} AS (SELECT point_index, x, y, {halves}, path * 4 + CASE WHEN x >= (lx + hx) / 2 THEN 1 ELSE 0 END + CASE WHEN y >= (ly + hy) / 2 THEN 2 ELSE 0 END AS path FROM q{k})"
+        corner = ", ".join(f"CASE WHEN {c} >= l{c} + s{c} / 2 THEN l{c} + s{c} / 2 ELSE l{c} END AS l{c}, s{c} / 2 AS s{c}" for c in "xy")
+        out += f", q{k + 1} AS (SELECT point_index, x, y, {corner}, path * 4 + CASE WHEN x >= lx + sx / 2 THEN 1 ELSE 0 END + CASE WHEN y >= ly + sy / 2 THEN 2 ELSE 0 END AS path FROM q{k})"
     return out + f", cells AS (SELECT *, path + {Q.offset(level)} AS cell FROM q{level}) "
 
 
@@ -223,7 +264,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bounds_negative_scale, legacy_counts, classification_hist, unpack_bit_byte, pack_core14_flags, box_filter_3d, custom_projection, colour_bytes, record_deltas, quadtree_levels, quadtree_cell, cell_at_level, cell_level, cell_bounds,
-        cell_histogram, cell_intervals, index_summary, find_cell_fallback, index_validation, missing_cells, unused_cells, chunk_deltas, interval_chunks, box_query_pruned, recluster_order, diff_readers, top_mismatches, bench_summary, streaming_median,
+        cell_histogram, cell_intervals, index_summary, find_cell_fallback, index_validation, missing_cells, unused_cells, chunk_deltas, interval_chunks, box_query_pruned, recluster_order, diff_readers, top_mismatches, bench_summary, streaming_median, change_mask,
     )
 }
 _AX, _AY, _BX, _BY = QUERY_BOX
@@ -241,16 +282,24 @@ ORACLES = {
     "quadtree_cell": CELLS + "SELECT point_index, cell FROM cells",
     "cell_at_level": AT2 + "SELECT point_index, cell FROM cells",
     "cell_level": CELLS + f"SELECT cell, CAST(level AS INT) AS level FROM ({UP})",
-    "cell_bounds": CELLS + "SELECT DISTINCT cell, lx AS min_x, hx AS max_x, ly AS min_y, hy AS max_y FROM cells",
+    "cell_bounds": CELLS + "SELECT DISTINCT cell, lx AS min_x, lx + sx AS max_x, ly AS min_y, ly + sy AS max_y FROM cells",
     "cell_histogram": CELLS + "SELECT cell, count(*) AS n_points FROM cells GROUP BY cell",
     "cell_intervals": ALL_RUNS + "SELECT cell, s AS first_point, e AS last_point FROM runs",
     "index_summary": ALL_RUNS + "SELECT count(DISTINCT cell) AS n_cells, count(*) AS n_intervals, CAST(sum(e - s + 1) AS BIGINT) AS n_points, CAST(count(*) AS DOUBLE) / count(DISTINCT cell) AS mean_intervals FROM runs",
     "find_cell_fallback": CELLS + f", st AS ({STORED}), up AS (SELECT point_index, cell, ((cell - {Q.offset(LEVEL)}) >> {2 * (LEVEL - 2)}) + {Q.offset(2)} AS c2 FROM cells) SELECT point_index, CASE WHEN cell IN (SELECT cell FROM st) THEN cell WHEN c2 % 2 = 0 THEN c2 ELSE -1 END AS found FROM up",
-    "index_validation": CELLS + RUNS.format("cells WHERE point_index % 10 <> 0") + ", i AS (SELECT count(*) AS k FROM cells c WHERE EXISTS (SELECT 1 FROM runs r WHERE r.cell = c.cell AND c.point_index BETWEEN r.s AND r.e)) SELECT count(*) AS n_points, count(DISTINCT cell) AS n_cells, any_value(k) AS in_intervals, count(*) - any_value(k) AS not_in_intervals FROM cells, i",
+    "index_validation": CELLS + RUNS.format("cells WHERE point_index % 10 <> 0")
+    + ", i AS (SELECT count(*) AS k FROM cells c WHERE EXISTS (SELECT 1 FROM runs r WHERE r.cell = c.cell AND c.point_index BETWEEN r.s AND r.e)), h AS (SELECT CAST(sum(e - s + 1) AS DOUBLE) AS held FROM runs), "
+    "t AS (SELECT count(*) AS n, count(DISTINCT cell) AS c, count(*) FILTER (WHERE x BETWEEN lx AND lx + sx AND y BETWEEN ly AND ly + sy) AS b, count(DISTINCT cell) FILTER (WHERE cell NOT IN (SELECT cell FROM runs)) AS m FROM cells) "
+    "SELECT n AS n_points, c AS n_cells, k AS in_intervals, n - k AS not_in_intervals, b AS in_bounds, m AS missing_cells, CAST(100 AS DOUBLE) * k / n AS percent_in_intervals, CAST(100 AS DOUBLE) * b / n AS percent_in_bounds, n / held AS efficiency FROM t, i, h",
     "missing_cells": CELLS + f"SELECT cell, count(*) AS n_points FROM cells GROUP BY cell HAVING count(*) < {LEAST}",
     "unused_cells": CELLS + "SELECT DISTINCT cell FROM cells WHERE cell NOT IN (SELECT cell FROM cells WHERE point_index % 3 = 0)",
+    "change_mask": POINTS_SQL + f""", l AS (SELECT *, point_index // {CHUNK} AS c, substr('{C.RETURN_CONTEXTS}', CAST(return_number + number_of_returns * 8 AS INT) + 1, 1) AS m,
+{", ".join(f"lag({c}) OVER w AS last_{c}" for c in ("return_number", "number_of_returns", "classification", "point_source_id"))} FROM points WINDOW w AS (PARTITION BY point_index // {CHUNK} ORDER BY point_index)),
+k AS (SELECT *, coalesce(lag(intensity) OVER (PARTITION BY c, m ORDER BY point_index), 0) AS light FROM l WHERE last_classification IS NOT NULL)
+SELECT point_index, CASE WHEN return_number <> last_return_number OR number_of_returns <> last_number_of_returns THEN 32 ELSE 0 END + CASE WHEN intensity <> light THEN 16 ELSE 0 END
++ CASE WHEN classification <> last_classification THEN 8 ELSE 0 END + CASE WHEN point_source_id <> last_point_source_id THEN 1 ELSE 0 END AS mask FROM k""",
     "chunk_deltas": POINTS_SQL + f"SELECT chunk_id, n - lag(n, 1, 0) OVER (ORDER BY chunk_id) AS delta FROM (SELECT point_index // {CHUNK} AS chunk_id, count(*) AS n FROM points WHERE z > 0 GROUP BY 1)",
-    "interval_chunks": CELLS + f"SELECT DISTINCT point_index // {CHUNK} AS chunk_id FROM cells WHERE cell % 7 = 0",
+    "interval_chunks": CELLS + f"SELECT DISTINCT point_index // {CHUNK} AS chunk_id FROM cells, box WHERE (lx <= {_BX} OR lx <= min_x) AND (lx + sx >= {_AX} OR lx + sx >= max_x) AND (ly <= {_BY} OR ly <= min_y) AND (ly + sy >= {_AY} OR ly + sy >= max_y)",
     "box_query_pruned": POINTS_SQL + f"SELECT point_index, x, y FROM points WHERE x BETWEEN {_AX} AND {_BX} AND y BETWEEN {_AY} AND {_BY}",
     "recluster_order": CELLS + "SELECT point_index, cell, row_number() OVER (ORDER BY cell, point_index) - 1 AS new_index FROM cells",
     "diff_readers": DIFF + "SELECT count(*) AS n_mismatches, count(*) FILTER (WHERE b IS NULL) AS n_missing FROM m WHERE a IS DISTINCT FROM b",
