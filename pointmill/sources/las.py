@@ -383,18 +383,28 @@ class Writer(DataSourceArrowWriter):
 
     def commit(self, messages: list[Part | None]) -> None:
         parts = sorted((m for m in messages if m is not None and m.n), key=lambda m: m.task)
-        if os.path.isdir(self.path):
-            shutil.rmtree(self.path)
         if self.whole:
+            end = "laz" if self.compressed else "las"
+            if not parts:
+                os.makedirs(self.parts, exist_ok=True)
+                self._assemble(f"{self.parts}/none.whole", [])
+                parts = [Part(0, f"{self.parts}/none")]
+            self._clear()
             os.makedirs(self.path)
             for m in parts:
-                os.replace(f"{m.path}.whole", f"{self.path}/part-{m.task:06d}.{'laz' if self.compressed else 'las'}")
-            if not parts:
-                self._assemble(f"{self.path}/part-000000.{'laz' if self.compressed else 'las'}", [])
+                os.replace(f"{m.path}.whole", f"{self.path}/part-{m.task:06d}.{end}")
         else:
             self._assemble(whole := f"{self.parts}.whole", parts)
+            self._clear()
             os.replace(whole, self.path)
         shutil.rmtree(self.parts, ignore_errors=True)
 
+    def _clear(self) -> None:
+        """Removes what the write replaces."""
+        if os.path.isdir(self.path):
+            shutil.rmtree(self.path)
+        elif os.path.exists(self.path):
+            os.remove(self.path)
+
     def abort(self, messages: list[Part | None]) -> None:
         shutil.rmtree(self.parts, ignore_errors=True)
