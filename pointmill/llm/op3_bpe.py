@@ -30,7 +30,7 @@ from pointmill.llm.common import by_slices, text_bytes
 #: Fixed value: the mark of a word's last symbol in the vocabulary file.
 END = "</w>"
 #: Encoded words, and token borders, in each of a worker's two stores; then the older one goes.
-CACHE = 150_000
+CACHE = 60_000
 #: Bytes of a word whose ids are stored, at most; bytes of texts whose new words are encoded together.
 STORED, TOGETHER = 64, 1 << 20
 #: Symbols of the automaton: the 256 bytes, and each of them as a word's last one.

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointmill.llm.common import by_slices, text_bytes
+from pointmill.llm.common import SLICE, by_slices, text_bytes
 
 EDITS, RECALL = 0.2, 0.995
 #: Steps drawn in a repetition; fewer are drawn for lengths that would need more than TIMES repetitions.
@@ -306,16 +306,21 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     names = [f"_{i}" for i in range(len(docs.columns))]
     kind = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
     out = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)))
-    text = names[docs.columns.index("text")]
+    place = docs.columns.index("text")
+    # the text passes once, as bytes that are read as a string again
+    passed = [F.col(n).cast("binary").alias(n) if k == place else F.col(n) for k, n in enumerate(names)]
     for number, block in enumerate(item_blocks(benchmark)):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             items = _prepared(number, shared.value)
-            for batch in batches:
-                # one text at a time is held
-                stays = [not items.search(batch.column(0)[i].as_py()) for i in range(batch.num_rows)]
-                yield batch.filter(pa.array(stays, pa.bool_())).select(range(1, batch.num_columns))
-
-        out = out.select(text_bytes(text), *names).mapInArrow(work, kind)
+            for whole in batches:
+                for at in range(0, whole.num_rows, SLICE):
+                    batch = whole.slice(at, SLICE)
+                    # one text at a time is held
+                    stays = [not items.search(batch.column(place)[i].as_py() or b"") for i in range(batch.num_rows)]
+                    batch = batch.filter(pa.array(stays, pa.bool_()))
+                    yield batch.set_column(place, names[place], batch.column(place).view(pa.string()))
+
+        out = out.select(*passed).mapInArrow(work, kind)
     return out.toDF(*docs.columns)
