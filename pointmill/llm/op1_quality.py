@@ -3,7 +3,7 @@
 Every word has a sparse random index vector, which its hash decides; its word vector is the sum of the index vectors of
 the words near it, over all documents. Words are numbered by hash in BUCKETS buckets, so the vectors have one size at any
 input; tasks sum them up as whole numbers and Spark adds the tasks' sums. A document is pooled to the mean of its words'
-vectors and a few shares of its signs. The network learns from a bounded sample of the labelled rows (SAMPLE rows, those
+vectors and the mean difference of neighbouring words' vectors. The network learns from a bounded sample of the labelled rows (SAMPLE rows, those
 of the smallest hash); a temperature, fitted on a fifth of the sample that the network doesn't see, calibrates it.
 """
 
@@ -28,7 +28,8 @@ THRESHOLD = 0.7
 #: Bytes of a text that are cut into words at a time.
 STRETCH = 1 << 20
 WORD = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\s]+")
-SHAPES = 8
+#: Words whose vectors are held at once.
+HELD = 1 << 15
 
 
 def stretches(text: bytes, most: int = STRETCH) -> Iterator[bytes]:
@@ -82,28 +83,19 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(text: bytes, vectors: np.ndarray) -> np.ndarray:
-    """The mean of the words' vectors and SHAPES shares; zeros for a text without words."""
-    total, n, kinds = np.zeros(DIMS), 0, np.zeros(BUCKETS, bool)
-    signs, top = np.zeros(256, np.int64), 0
-    repeats = 0
+    """The mean of the words' vectors, and of the size of the step from each to the next; zeros for a text without words."""
+    total, steps, n, last = np.zeros(DIMS), np.zeros(DIMS), 0, None
     for part in stretches(text):
         w = numbers(part)
-        counts = np.bincount(w, minlength=BUCKETS)
-        used = np.flatnonzero(counts)
-        total += counts[used] @ vectors[used]
-        kinds[used] = True
-        top = max(top, int(counts.max(initial=0)))
+        for at in range(0, len(w), HELD):
+            own = vectors[w[at : at + HELD]]
+            total += own.sum(axis=0, dtype=np.float64)
+            steps += np.abs(own[1:] - own[:-1]).sum(axis=0, dtype=np.float64)
+            if last is not None:
+                steps += np.abs(own[0] - last)
+            last = own[-1]
         n += len(w)
-        repeats += int((w[2:] == w[:-2]).sum() + (w[1:] == w[:-1]).sum())
-        signs += np.bincount(np.frombuffer(part, np.uint8), minlength=256)
-    if not n:
-        return np.zeros(DIMS + SHAPES)
-    size, upper, lower = signs.sum(), signs[65:91].sum(), signs[97:123].sum()
-    other = signs[33:48].sum() + signs[58:65].sum() + signs[91:97].sum() + signs[123:127].sum()
-    return np.concatenate((total / n, [
-        upper / (upper + lower + 1), other / size, (other - signs[44] - signs[46]) / size, signs[48:58].sum() / size,
-        kinds.sum() / n, top / n, repeats / n, np.log1p(n) / 10,
-    ]))
+    return np.concatenate((total / n, steps / max(1, n - 1))) if n else np.zeros(2 * DIMS)
 
 
 class Network:
@@ -159,9 +151,10 @@ def held_out(folds: int, aside: int):  # noqa: ANN201
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of docs.
 
-    A null or empty text pools to zeros and gets the score of zeros. A null doc_id is never labelled and not held out.
+    A null or empty text pools to zeros and gets the score of zeros; a text of any length is read whole, in parts. A null doc_id is never labelled and not held out.
     Repeated rows have equal scores; of rows that share a labelled doc_id one is learned from. Without labels, or with
-    labels of one kind only, every score is the label's share. Other columns than doc_id and text are not read.
+    labels of one kind only, every score is the label's share. An empty table gives an empty
+    result. Other columns than doc_id and text are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
@@ -176,7 +169,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
     # the sample's size is bounded by its parameter
     learned = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(by_slices(features, kind), "doc_id long, y int, x array<double>")
     known = sorted(learned.groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("r")).select("doc_id", "r.y", "r.x").collect())
-    x = np.array([r.x for r in known]).reshape(-1, DIMS + SHAPES)
+    x = np.array([r.x for r in known]).reshape(-1, 2 * DIMS)
     order = np.random.default_rng(3).permutation(len(x))
     network = spark.sparkContext.broadcast(Network(x[order], np.array([r.y for r in known], int)[order]))
 

@@ -100,9 +100,15 @@ def test_shards(docs):
     assert all(s == list(range(len(s))) for s in sizes) and max(map(len, sizes)) - min(map(len, sizes)) <= 1
 
 
-def test_quality_equals_sql(docs):
+def test_quality_equals_sql(spark, docs):
     got = op10_quality.assess(docs, ["doc_id"]).collect()
     assert len(got) == len(ROWS)
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = op10_quality.assess(table, ["doc_id"])
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    cols = sorted(found.columns)
+    assert sorted(map(repr, map(tuple, found.select(*cols).collect()))) == sorted(map(repr, con.sql(f"SELECT {', '.join(cols)} FROM ({op10_quality.SQL})").fetchall()))
     assert next(r.n_repeat_words for r in got if r.doc_id == 20) == 3000
 
 

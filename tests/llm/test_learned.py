@@ -45,6 +45,28 @@ def test_toxic_expressions(spark):
     assert weight.get(pair(b"words number"), 0) == 0
 
 
+def test_pooled_vectors_by_hand(spark, monkeypatch):
+    """Word vectors and pooling against sums word by word, over several tasks and parts of texts."""
+    texts = ["one two three two one", "", None, "three, three one !! two", "one " * 30]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    places, signs = op1_quality.index_vectors()
+    want = np.zeros((op1_quality.BUCKETS, op1_quality.DIMS))
+    for t in texts:
+        w = op1_quality.numbers((t or "").encode())
+        for i, a in enumerate(w):
+            for j in range(max(0, i - 2), min(len(w), i + 3)):
+                for k in range(op1_quality.ONES) if i != j else ():
+                    want[a, places[w[j], k]] += signs[w[j], k]
+    want /= np.linalg.norm(want, axis=1, keepdims=True) + 1
+    got = op1_quality.word_vectors(docs)
+    assert np.allclose(got, want, atol=1e-6)
+    w = [got[i] for i in op1_quality.numbers(texts[3].encode())]
+    by_hand = np.concatenate((np.mean(w, axis=0), np.mean([np.abs(b - a) for a, b in zip(w, w[1:], strict=False)], axis=0)))
+    monkeypatch.setattr(op1_quality, "HELD", 2)
+    assert np.allclose(op1_quality.pooled(texts[3].encode(), got), by_hand, atol=1e-6)
+    assert not op1_quality.pooled(b"", got).any()
+
+
 def test_toxicity_sums_to_one(spark):
     """The table's differences are those of two models, worked out word by word, whose probabilities sum to one."""
     rng = np.random.default_rng(5)
