@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from pointmill.llm.common import by_slices, remove, text_bytes, written
 from pointmill.llm.components import components
 
-SHINGLE, LIMIT, PARTS, SEED = 4, 4, 3, 42
+SHINGLE, LIMIT, SEED = 4, 4, 42
+#: Numbers of partitions among which the cheapest is taken: fewer have longer keys, and more probes for each fingerprint.
+PARTS = (2, 3)
 #: Fingerprints under one key that one task compares with each other.
 CELL = 2000
 #: Rows of one group that a task holds at once.
@@ -85,7 +87,7 @@ def bit_moments(prints: DataFrame) -> tuple[np.ndarray, int]:
     return flat[:-1].reshape(64, 64), int(flat[-1])
 
 
-def group_bits(both: np.ndarray, n: int, parts: int = PARTS) -> list[list[int]]:
+def group_bits(both: np.ndarray, n: int, parts: int) -> list[list[int]]:
     """Bits in `parts` partitions of near equal size, each grown by the bit that is most correlated with it so far."""
     mean = np.diag(both) / max(n, 1)
     cov = both / max(n, 1) - np.outer(mean, mean)
@@ -104,8 +106,8 @@ def group_bits(both: np.ndarray, n: int, parts: int = PARTS) -> list[list[int]]:
     return out
 
 
-def allocate(cost: list[list[float]], total: int) -> list[int]:
-    """Thresholds, one for each partition, of the given sum and the least cost; cost[p][t + 1] is for threshold t."""
+def allocate(cost: list[list[float]], total: int) -> tuple[float, list[int]]:
+    """The least cost, and the thresholds of the given sum that have it, one for each partition; cost[p][t + 1] is for threshold t."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for c in cost:
         new: dict[int, tuple[float, list[int]]] = {}
@@ -115,33 +117,43 @@ def allocate(cost: list[list[float]], total: int) -> list[int]:
                 if s + t not in new or w < new[s + t][0]:
                     new[s + t] = (w, [*chosen, t])
         best = new
-    return best[total][1]
+    return best[total]
 
 
-def plan(prints: DataFrame, limit: int = LIMIT, parts: int = PARTS) -> list[tuple[list[int], int]]:
-    """Partitions of the bits with their thresholds.
+def plan(prints: DataFrame, limit: int = LIMIT, parts: tuple[int, ...] = PARTS) -> list[tuple[list[int], int]]:
+    """Partitions of the bits with their thresholds, in the number of partitions that costs least.
 
     Candidates of a partition at threshold 0 are counted, over all fingerprints; those at higher thresholds are the
-    count times what independent bits of the same means would add.
+    count times what independent bits of the same means would add. Candidates grow with the square of the fingerprints,
+    probes with their number, so many fingerprints take fewer partitions with longer keys.
     """
     both, n = bit_moments(prints)
-    groups = group_bits(both, n, parts)
     mean = np.diag(both) / max(n, 1)
-    counted = prints.select(*(_key_column(g).alias(f"k{p}") for p, g in enumerate(groups)))
-    cost = []
-    for p, bits in enumerate(groups):
-        pairs = counted.groupBy(f"k{p}").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1.0) / 2)).first()[0] or 0.0
-        near = np.array([1.0])
-        for b in bits:  # distribution of the distance of two fingerprints on these bits
-            a = mean[b] ** 2 + (1 - mean[b]) ** 2
-            near = np.convolve(near, [a, 1 - a])
-        at0 = max(near[0], 1e-30)
-        row, probes = [0.0], 0
-        for t in range(limit + 1):
-            probes += comb(len(bits), t)
-            row.append(max(pairs, n * n / 2 * at0) * near[: t + 1].sum() / at0 + PROBE_COST * n * probes)
-        cost.append(row)
-    return list(zip(groups, allocate(cost, limit - parts + 1), strict=True))
+    tried = [(k, group_bits(both, n, k)) for k in parts]
+    counted = {}
+    for _, groups in tried:
+        for bits in groups:
+            pairs = F.sum(F.col("c") * (F.col("c") - 1.0) / 2)
+            counted[tuple(bits)] = prints.groupBy(_key_column(bits).alias("k")).agg(F.count(F.lit(1)).alias("c")).agg(pairs).first()[0] or 0.0
+    plans = []
+    for k, groups in tried:
+        (spent, thresholds) = allocate([_costs(bits, counted[tuple(bits)], mean, n, limit) for bits in groups], limit - k + 1)
+        plans.append((spent, k, list(zip(groups, thresholds, strict=True))))
+    return min(plans)[2]
+
+
+def _costs(bits: list[int], pairs: float, mean: np.ndarray, n: int, limit: int) -> list[float]:
+    """What a partition costs without probes and at each threshold from 0 on."""
+    near = np.array([1.0])
+    for b in bits:  # distribution of the distance of two fingerprints on these bits
+        a = mean[b] ** 2 + (1 - mean[b]) ** 2
+        near = np.convolve(near, [a, 1 - a])
+    at0 = max(near[0], 1e-30)
+    row, probes = [0.0], 0
+    for t in range(limit + 1):
+        probes += comb(len(bits), t)
+        row.append(max(pairs, n * n / 2 * at0) * near[: t + 1].sum() / at0 + PROBE_COST * n * probes)
+    return row
 
 
 def _key_column(bits: list[int]):  # noqa: ANN202
@@ -274,7 +286,7 @@ def near_links(prints: DataFrame, chosen: list[tuple[list[int], int]], limit: in
     return sorted_rows.mapInArrow(_verify(limit), "a long, b long")
 
 
-def rooted(classes: DataFrame, limit: int = LIMIT, parts: int = PARTS, cell: int = CELL) -> DataFrame:
+def rooted(classes: DataFrame, limit: int = LIMIT, parts: tuple[int, ...] = PARTS, cell: int = CELL) -> DataFrame:
     """classes (distinct fingerprints in fp, other columns as they are) with root, one fingerprint for each component."""
     chosen = plan(classes, limit, parts)
     links = written(near_links(classes, chosen, limit, cell), "near")
@@ -285,7 +297,7 @@ def rooted(classes: DataFrame, limit: int = LIMIT, parts: int = PARTS, cell: int
     return classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
-def cluster(docs: DataFrame, limit: int = LIMIT, parts: int = PARTS, cell: int = CELL) -> DataFrame:
+def cluster(docs: DataFrame, limit: int = LIMIT, parts: tuple[int, ...] = PARTS, cell: int = CELL) -> DataFrame:
     """One row per row of docs: doc_id, fp (signed long) and component_id, the smallest doc_id reachable by links.
 
     A null or blank text has fingerprint 0, which links like any other. A text of any length is read whole. A null doc_id is
@@ -301,7 +313,7 @@ def cluster(docs: DataFrame, limit: int = LIMIT, parts: int = PARTS, cell: int =
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def first_of_groups(docs: DataFrame, limit: int = LIMIT, parts: int = PARTS, cell: int = CELL) -> DataFrame:
+def first_of_groups(docs: DataFrame, limit: int = LIMIT, parts: tuple[int, ...] = PARTS, cell: int = CELL) -> DataFrame:
     """One row of docs for each component of fingerprints, all columns: that of the smallest doc_id, null last.
 
     Rows without words (null and blank texts too) all stay and link to none. The choice is by row, not by id: of rows that

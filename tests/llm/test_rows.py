@@ -59,6 +59,31 @@ def test_recall_by_edits(n):
         assert held == 25 and hit >= 0.9 * held
 
 
+@pytest.mark.parametrize("parts", [(2,), (3,), (4,)])
+def test_any_number_of_partitions(spark, parts):
+    """All pairs within the limit are linked, for any number of partitions."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 62, 40)
+    prints = {int(x) for b in base for x in [b, *(b ^ np.bitwise_or.reduce(1 << rng.integers(0, 62, k)) for k in (1, 2, 3, 4, 5))]}
+    table = spark.createDataFrame([(x,) for x in prints], "fp long")
+    found = {r.fp: r.root for r in op8_simhash.rooted(table, parts=parts).collect()}
+    group = {x: x for x in prints}
+    for _ in prints:
+        new = {a: min(group[b] for b in prints if (a ^ b).bit_count() <= 4) for a in prints}
+        if new == group:
+            break
+        group = new
+    pairs = lambda g: {frozenset(k for k in g if g[k] == v) for v in g.values()}
+    assert pairs(found) == pairs(group)
+
+
+def test_partitions_follow_the_size():
+    """Few fingerprints take three partitions, very many take two."""
+    mean = np.full(64, 0.5)
+    cost = lambda n, k: op8_simhash.allocate([op8_simhash._costs(list(range(64 // k)), n * n / 2 / 2.0 ** (64 // k), mean, n, 4) for _ in range(k)], 5 - k)[0]
+    assert cost(10**5, 3) < cost(10**5, 2) and cost(10**9, 2) < cost(10**9, 3)
+
+
 def test_fingerprint_by_hand():
     """The vote over shingles, bit by bit."""
     for text in ["one two three four five six seven", "Aa\x0bBb  cc\tdd ee ff" * 9, "four words are here", "two words", "x " * 40]:
