@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pointmill.plans import convert, spatial
 from pointmill.plans.points import CHUNK, POINTS_SQL, points
-from pointmill.sources import layout
+from pointmill.sources import blobs, layout
 from pointmill.sources.las import LasSource
 
 
@@ -145,10 +145,15 @@ def converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.reader(spark, target).select(*shared_columns(3))
 
 
+def store_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A compressed file read as bytes by Spark, as from a store that only Spark reads."""
+    return blobs.read(spark, f"file://{_compressed(spark, sf_dir, 1)}", 1).select(*shared_columns(1))
+
+
 QUERIES = {**{f"las_roundtrip_pf{k}": _round_trip(k) for k in range(11)}, "header_scan": header_scan, "wkt": wkt}
 COMPRESSED = (0, 1, 2, 3, 6, 7, 8)
 QUERIES |= {f"laz_roundtrip_pf{k}": _compressed_round_trip(k) for k in COMPRESSED}
-QUERIES |= {f.__name__: f for f in (folder_roundtrip, chunk_scan, chunk_facts, codec_items, vlr_roundtrip, geo_keys, extra_bytes_roundtrip, index_roundtrip, box_query_file, converted)}
+QUERIES |= {f.__name__: f for f in (folder_roundtrip, chunk_scan, chunk_facts, codec_items, vlr_roundtrip, geo_keys, extra_bytes_roundtrip, index_roundtrip, box_query_file, converted, store_scan)}
 ORACLES = {f"las_roundtrip_pf{k}": POINTS_SQL + f"SELECT {', '.join(shared_columns(k))} FROM points" for k in range(11)}
 ORACLES |= {
     "header_scan": POINTS_SQL + "SELECT '1.4' AS version, 1 AS format, 28 AS record_length, count(*) AS n_points, CAST(1 AS BIGINT) AS n_vlrs, count(*) FILTER (WHERE return_number = 1) AS first_returns FROM points",
@@ -158,6 +163,7 @@ ORACLES |= {f"laz_roundtrip_pf{k}": ORACLES[f"las_roundtrip_pf{k}"] for k in COM
 ORACLES |= {
     "folder_roundtrip": ORACLES["las_roundtrip_pf3"],
     "converted": ORACLES["las_roundtrip_pf3"],
+    "store_scan": ORACLES["las_roundtrip_pf1"],
     "chunk_scan": POINTS_SQL + f"SELECT point_index, x, gps_time FROM points WHERE point_index // {CHUNK} IN (0, 1)",
     "chunk_facts": POINTS_SQL + "SELECT CAST(0 AS BIGINT) AS chunk_id, count(*) AS n_points, CAST(0 AS BIGINT) AS first_point, count(*) * 20 AS compressed_size FROM points",
     "codec_items": "SELECT 2 AS compressor, * FROM (VALUES (0, 6, 20, 2), (1, 7, 8, 2), (2, 8, 6, 2)) t(ordinal, item_type, item_size, item_version)",
