@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pointmill.functions import columns as C
+from pointmill.operators import checks
 from pointmill.operators import intervals as I
 from pointmill.operators import quadtree as Q
 from pointmill.plans.points import CHUNK, POINTS_SQL, points
@@ -125,24 +126,10 @@ def _index(p: DataFrame) -> DataFrame:
 
 
 def index_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How an index fits its points: points in a run of their cell and in the cell's bounds, shares, cells that the index
-    lacks, and points for each place that the runs hold."""
+    """How an index that misses each tenth point fits all points."""
     p, box = _celled(spark, sf_dir)
     p = p.select("point_index", "cell", "x", "y")
-    index = _index(p)
-    found = I.within(p, index).agg(F.count(F.lit(1)).alias("in_intervals"))
-    b = F.col("b")
-    inside = F.col("x").between(b["min_x"], b["max_x"]) & F.col("y").between(b["min_y"], b["max_y"])
-    cells = p.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    total = p.withColumn("b", Q.cell_bounds("cell", box)).agg(F.count(F.lit(1)).alias("n_points"), F.count_if(inside).alias("in_bounds"))
-    lacking = cells.join(index.select("cell").distinct().withColumn("known", F.lit(1)), "cell", "left").agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(F.col("known").isNull()).alias("missing_cells"))
-    held = index.agg(F.coalesce(F.sum(F.col("end") - F.col("start") + 1), F.lit(0)).alias("held"))
-    one = total.join(F.broadcast(found)).join(F.broadcast(lacking)).join(F.broadcast(held))  # a row each
-    n = F.greatest(F.col("n_points"), F.lit(1))
-    return one.select(
-        "n_points", "n_cells", "in_intervals", (F.col("n_points") - F.col("in_intervals")).alias("not_in_intervals"), "in_bounds", "missing_cells", (F.lit(100.0) * F.col("in_intervals") / n).alias("percent_in_intervals"),
-        (F.lit(100.0) * F.col("in_bounds") / n).alias("percent_in_bounds"), F.when(F.col("held") > 0, F.col("n_points") / F.col("held")).otherwise(0.0).alias("efficiency"),
-    )
+    return checks.index_report(p, _index(p), box)
 
 
 def missing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,9 +185,7 @@ def _other(p: DataFrame) -> DataFrame:
 
 
 def _mismatches(p: DataFrame) -> DataFrame:
-    fields = ["x", "y", "z", "intensity", "classification"]
-    side = lambda d, n: d.select("point_index", F.struct(*fields).alias(n))
-    return side(p, "a").join(side(_other(p), "b"), "point_index", "full").where(~F.col("a").eqNullSafe(F.col("b")))
+    return checks.mismatches(p, _other(p), ["x", "y", "z", "intensity", "classification"])
 
 
 def diff_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
