@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pointmill.llm import op1_quality, op2_toxicity, op3_bpe, op4_decontaminate, op5_secrets, op6_substrings, op7_lines, op8_simhash, op9_sharding, op10_quality, op11_merkle, op13_bytes
+from pointmill.llm import op1_quality, op2_toxicity, op3_bpe, op4_decontaminate, op5_secrets, op6_substrings, op7_lines, op8_simhash, op9_sharding, op10_quality, op11_merkle, op12_alignment, op13_bytes
 from pointmill.llm.common import table, vocabulary
 
 
@@ -53,10 +53,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_merkle.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_alignment.score(table(spark, sf_dir, "documents"), op12_alignment.vocabularies())
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_bytes.encode(table(spark, sf_dir, "documents"), op13_bytes.vocabulary(), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_score, op2_toxicity_score, op3_bpe_encode, op4_decontaminate_leaks, op5_secret_scan, op6_substring_dedup, op7_line_dedup, op8_simhash_dedup, op9_shard, op10_quality_rules, op11_merkle_manifest, op13_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality_score, op2_toxicity_score, op3_bpe_encode, op4_decontaminate_leaks, op5_secret_scan, op6_substring_dedup, op7_line_dedup, op8_simhash_dedup, op9_shard, op10_quality_rules, op11_merkle_manifest, op12_token_alignment, op13_byte_bpe)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {"op7_line_dedup": op7_lines.SQL, "op10_quality_rules": op10_quality.SQL}
