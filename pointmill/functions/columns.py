@@ -44,14 +44,10 @@ def encoding_text(flags: Column | str) -> Column:
     return F.concat_ws(", ", *(F.when(bits(flags, k, 1) == 1, F.lit(name)) for k, name in enumerate(ENCODINGS)))
 
 
-#: Context of a record by its number of returns and return number, 8 by 8.
-RETURN_CONTEXTS = "FEDCBA98E0136AA9D1247BBAC3458CCBB6789DDCAABCDEED9ABCDEFE89ABCDEF"
-
-
 def return_context(number_of_returns: Column | str, return_number: Column | str) -> Column:
     """The context of a record of formats 0 to 5, by which intensities are compared."""
     at = packed((return_number, 0), (number_of_returns, 3))
-    return F.conv(F.substring(F.lit(RETURN_CONTEXTS), at + 1, F.lit(1)), 16, 10).cast("int")
+    return F.get(F.array(*(F.lit(c) for row in RETURNS8 for c in row)), at)
 
 
 def digitized(sample: Column, gain: Column | float, offset: Column | float) -> Column:

@@ -113,3 +113,89 @@ def find_cells(leaves: DataFrame, stored: DataFrame, level: int) -> DataFrame:
     hit = tried.select("cell", "t.depth", "t.at").join(stored.select(F.col("cell").alias("at")).distinct(), "at")
     deepest = hit.groupBy("cell").agg(F.max_by("at", "depth").alias("found"))
     return own.join(deepest, "cell", "left").select("cell", F.coalesce("found", F.lit(-1).cast("long")).alias("found"))
+
+
+def _column(at: float, least: float, wide: float, level: int) -> int:
+    """The column of a place on one axis, by the same halving as cell()."""
+    out = 0
+    for k in range(1, level + 1):
+        middle = least + wide / 2.0**k
+        right = at >= middle
+        least, out = middle if right else least, out * 2 + right
+    return out
+
+
+def _border(column: int, least: float, wide: float, level: int) -> float:
+    """The lower border of a column."""
+    for k in range(1, level + 1):
+        if column >> (level - k) & 1:
+            least += wide / 2.0**k
+    return least
+
+
+def _columns(low: float, high: float, least: float, wide: float, level: int) -> tuple[int, int]:
+    """The first and last column that low to high meets, borders included; beyond the box those at its edges."""
+    first, last = _column(low, least, wide, level), _column(high, least, wide, level)
+    if first and _border(first - 1, least, wide, level) + wide / 2.0**level >= low:
+        first -= 1
+    return first, last
+
+
+def cell_ranges(query: Box, box: Box, level: int, most: int | None = None) -> list[tuple[int, int]]:
+    """The cells of a level that meet the query, as ranges of numbers, in order and as long as possible.
+
+    The columns and rows that the query covers are whole numbers; from the root only quadrants that their border cuts are
+    divided, one inside is a single range. With `most`, division stops a level earlier until there are that many ranges or
+    fewer; they then hold more than the query. Cells at the edges also hold what lies beyond the box.
+    """
+    if level < 1 or box.max_x <= box.min_x or box.max_y <= box.min_y:
+        return [(0, 0)]
+    if query.max_x < query.min_x or query.max_y < query.min_y:
+        return []
+    x0, x1 = _columns(query.min_x, query.max_x, box.min_x, box.max_x - box.min_x, level)
+    y0, y1 = _columns(query.min_y, query.max_y, box.min_y, box.max_y - box.min_y, level)
+    for deepest in range(level, -1, -1):
+        out: list[tuple[int, int]] = []
+        todo = [(0, 0, 0, 0)]  # path, depth, column and row
+        while todo:
+            path, depth, x, y = todo.pop()
+            size = 1 << (level - depth)
+            left, low = x * size, y * size
+            if left > x1 or left + size <= x0 or low > y1 or low + size <= y0:
+                continue
+            inside = x0 <= left and left + size - 1 <= x1 and y0 <= low and low + size - 1 <= y1
+            if not inside and depth < deepest:
+                todo += [(path * 4 + q, depth + 1, x * 2 + q % 2, y * 2 + q // 2) for q in (3, 2, 1, 0)]
+                continue
+            first = offset(level) + path * size * size
+            if out and out[-1][1] == first - 1:
+                first = out.pop()[0]
+            out.append((first, offset(level) + (path + 1) * size * size - 1))
+        if most is None or len(out) <= most:
+            break
+    return out
+
+
+def leaves_of(number: Column | str, level: int) -> tuple[Column, Column]:
+    """The first and last cell of a level under a cell of that or a lower level."""
+    number = F.col(number) if isinstance(number, str) else number
+    own = level_of(number)
+    firsts = F.array(*(F.lit(offset(k)) for k in range(MOST_LEVELS + 1)))
+    path, below = number - F.get(firsts, own), F.lit(1).cast("long") * F.pow(F.lit(4.0), F.lit(level) - own).cast("long")
+    return F.lit(offset(level)) + path * below, F.lit(offset(level)) + (path + 1) * below - 1
+
+
+def meeting(rows: DataFrame, ranges: list[tuple[int, int]], level: int, first: str = "cell", last: str | None = None) -> DataFrame:
+    """The rows whose cell, or whose cells first to last, lie in the ranges of a level.
+
+    Ranges are cut at blocks of cells, so that the join has equal keys, and no condition is pushed into the way cells are worked out.
+    """
+    shift = 2 * (level // 2)
+    block = lambda c: F.shiftright(F.col(c) - F.lit(offset(level)), shift)
+    held = rows.sparkSession.createDataFrame(ranges, "_start long, _end long")
+    held = held.withColumn("_held", F.explode(F.sequence(block("_start"), block("_end"))))
+    last = last or first
+    wanted = F.sequence(block(first), block(last))
+    cut = rows.withColumn("_block", block(first)) if last == first else rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_block", F.explode(wanted))
+    met = cut.join(held, (F.col("_block") == F.col("_held")) & (F.col(first) <= F.col("_end")) & (F.col(last) >= F.col("_start")), "left_semi")
+    return (met if last == first else met.dropDuplicates(["_row"]).drop("_row")).drop("_block")

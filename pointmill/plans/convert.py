@@ -13,6 +13,8 @@ from pointmill.operators import quadtree as Q
 from pointmill.sources import index as spatial
 from pointmill.sources.las import CHUNK, LasSource
 
+#: Ranges of cells that a box is cut into at most; beyond, they hold more cells than the box.
+RANGES = 10_000
 #: Fields of the header that a conversion takes over, besides scale and offset.
 KEPT = ["source_id", "global_encoding", "project_id", "system_id"]
 
@@ -99,14 +101,13 @@ def box_query(spark: SparkSession, path: str, box: tuple[float, float, float, fl
     at = lambda a: F.col(a) * F.lit(head[f"scale_{a}"]) + F.lit(head[f"offset_{a}"])
     inside = at("x").between(ax, bx) & at("y").between(ay, by)
     stored = reader(spark, path, table="index")
-    one = stored.select("min_x", "min_y", "max_x", "max_y").first()
+    one = stored.select("levels", "min_x", "min_y", "max_x", "max_y").first()
     if one is None:
         return reader(spark, path).where(inside)
-    whole = Q.Box(one.min_x, one.min_y, one.max_x, one.max_y)
-    b = F.col("b")
-    wide = ((b["min_x"] <= bx) | (b["min_x"] <= whole.min_x)) & ((b["max_x"] >= ax) | (b["max_x"] >= whole.max_x))
-    wide &= ((b["min_y"] <= by) | (b["min_y"] <= whole.min_y)) & ((b["max_y"] >= ay) | (b["max_y"] >= whole.max_y))
-    runs = stored.withColumn("b", Q.cell_bounds("cell", whole)).where(wide).select(F.explode("intervals").alias("i")).select("i.*")
+    first, last = Q.leaves_of("cell", one.levels)
+    spans = stored.select(first.alias("first"), last.alias("last"), "intervals")
+    ranges = Q.cell_ranges(Q.Box(ax, ay, bx, by), Q.Box(one.min_x, one.min_y, one.max_x, one.max_y), one.levels, RANGES)
+    runs = Q.meeting(spans, ranges, one.levels, "first", "last").select(F.explode("intervals").alias("i")).select("i.*")
     # numbers of chunks: a file of a table of chunks holds few
     wanted = I.chunks_meeting(runs, reader(spark, path, table="chunks")).collect()
     return reader(spark, path, chunks=",".join(str(r.chunk_id) for r in sorted(wanted)) or "-1").where(inside)

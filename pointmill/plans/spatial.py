@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pointmill.codec.items import RETURNS8
 from pointmill.functions import columns as C
 from pointmill.operators import checks
 from pointmill.operators import intervals as I
@@ -149,28 +150,21 @@ def chunk_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.previous(sizes, "chunk_id", "n", "before").select("chunk_id", (F.col("n") - F.col("before")).alias("delta"))
 
 
-def _meets(box: Q.Box) -> Column:
-    """Whether the bounds in b meet QUERY_BOX; edge cells also hold what lies beyond the rounded bounds."""
-    ax, ay, bx, by = QUERY_BOX
-    b = F.col("b")
-    wide = ((b["min_x"] <= bx) | (b["min_x"] <= box.min_x)) & ((b["max_x"] >= ax) | (b["max_x"] >= box.max_x))
-    return wide & ((b["min_y"] <= by) | (b["min_y"] <= box.min_y)) & ((b["max_y"] >= ay) | (b["max_y"] >= box.max_y))
+def _in_cells(p: DataFrame, box: Q.Box) -> DataFrame:
+    """The points of the cells that QUERY_BOX meets."""
+    return Q.meeting(p, Q.cell_ranges(Q.Box(*QUERY_BOX), box, LEVEL), LEVEL)
 
 
 def interval_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks that the runs of the cells which meet QUERY_BOX lie in."""
-    p, box = _celled(spark, sf_dir)
-    cells = p.select("cell").distinct().withColumn("b", Q.cell_bounds("cell", box)).where(_meets(box)).select("cell")
-    return I.chunks_of(I.runs(p.join(cells, "cell", "left_semi")), CHUNK)
+    return I.chunks_of(I.runs(_in_cells(*_celled(spark, sf_dir))), CHUNK)
 
 
 def box_query_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells that meet the box, their runs, the chunks of these, and of the chunks' points those in the box."""
+    """Ranges of cells that meet the box, the runs of their points, the chunks of these, and of the chunks' points those in the box."""
     p, box = _celled(spark, sf_dir)
     ax, ay, bx, by = QUERY_BOX
-    cells = p.select("cell").distinct().withColumn("b", Q.cell_bounds("cell", box)).where(_meets(box)).select("cell")
-    index = I.runs(p.join(cells, "cell", "left_semi"))
-    near = p.withColumn("chunk_id", F.floor(F.col("point_index") / CHUNK)).join(I.chunks_of(index, CHUNK), "chunk_id", "left_semi")
+    near = p.withColumn("chunk_id", F.floor(F.col("point_index") / CHUNK)).join(I.chunks_of(I.runs(_in_cells(p, box)), CHUNK), "chunk_id", "left_semi")
     return near.where(F.col("x").between(ax, bx) & F.col("y").between(ay, by)).select("point_index", "x", "y")
 
 
@@ -278,7 +272,7 @@ ORACLES = {
     "SELECT n AS n_points, c AS n_cells, k AS in_intervals, n - k AS not_in_intervals, b AS in_bounds, m AS missing_cells, CAST(100 AS DOUBLE) * k / n AS percent_in_intervals, CAST(100 AS DOUBLE) * b / n AS percent_in_bounds, n / held AS efficiency FROM t, i, h",
     "missing_cells": CELLS + f"SELECT cell, count(*) AS n_points FROM cells GROUP BY cell HAVING count(*) < {LEAST}",
     "unused_cells": CELLS + "SELECT DISTINCT cell FROM cells WHERE cell NOT IN (SELECT cell FROM cells WHERE point_index % 3 = 0)",
-    "change_mask": POINTS_SQL + f""", l AS (SELECT *, point_index // {CHUNK} AS c, substr('{C.RETURN_CONTEXTS}', CAST(return_number + number_of_returns * 8 AS INT) + 1, 1) AS m,
+    "change_mask": POINTS_SQL + f""", l AS (SELECT *, point_index // {CHUNK} AS c, ({sum(RETURNS8, [])})[CAST(return_number + number_of_returns * 8 AS INT) + 1] AS m,
 {", ".join(f"lag({c}) OVER w AS last_{c}" for c in ("return_number", "number_of_returns", "classification", "point_source_id"))} FROM points WINDOW w AS (PARTITION BY point_index // {CHUNK} ORDER BY point_index)),
 k AS (SELECT *, coalesce(lag(intensity) OVER (PARTITION BY c, m ORDER BY point_index), 0) AS light FROM l WHERE last_classification IS NOT NULL)
 SELECT point_index, CASE WHEN return_number <> last_return_number OR number_of_returns <> last_number_of_returns THEN 32 ELSE 0 END + CASE WHEN intensity <> light THEN 16 ELSE 0 END
