@@ -19,9 +19,9 @@ import hashlib
 import json
 import os
 import re
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +34,9 @@ from pointmill.llm.op3_bpe import byte_symbols
 from pointmill.llm.op13_bytes import Store, ranges
 
 #: Words, and steps, in a worker's stores; code points of a word that is stored, at most.
-CACHE, STORED = 200_000, 64
+CACHE, STORED = 150_000, 64
 #: Bytes of texts whose new words are tokenized together, and of a block. A longer text is a block of its own.
-TOGETHER, BLOCK = 1 << 20, 8 << 20
+TOGETHER, BLOCK = 1 << 20, 4 << 20
 SPACE = "▁"
 
 
@@ -81,6 +81,9 @@ class Aligner:
         #: whether both cut before a space after what is none; else texts are aligned whole
         self.cuts = plain and not any(SPACE in p.lstrip(SPACE) for p in pieces)
         blank = ranges("".join(c for c in map(chr, range(0x10000)) if c.isspace()) + "\x85᠎​﻿")
+        self.empty = self.b.piece_to_id(SPACE)
+        #: states after each token of A from the empty state; those of no bytes and those not met yet are 0
+        self.firsts = [self._state(0, t) for t in self.bytes_a]
         self.inner, self.border = re.compile(f" (?<=[{blank}] )"), re.compile(f"(?<=[^{blank}])(?= )")
 
     def _step(self, key: int) -> int:
@@ -114,12 +117,12 @@ class Aligner:
 
         None where the two sequences aren't of the same bytes.
         """
-        steps, width, text_a, text_b = self.steps, self.width, self.text_a.__getitem__, self.text_b.__getitem__
-        groups, links, i, j, n = [], [], 0, 0, len(ids_a)
+        steps, width, text_a, text_b, firsts = self.steps, self.width, self.text_a, self.text_b, self.firsts
+        groups, links, i, j, n = [], [], 0, 0, len(ids_b)
         try:
-            while i < n:
-                start, other, a = i, j, ids_a[i]
-                state = steps[a]  # from the empty state
+            while j < n:
+                before, other, a = i, j, ids_a[i]
+                state = firsts[a] or steps[a]  # from the empty state
                 i += 1
                 while state:
                     if state & 1:
@@ -130,10 +133,17 @@ class Aligner:
                         j += 1
                     links.append(a << 32 | b)
                     state = steps[state * width + token]
-                groups.append(f"{','.join(map(text_a, ids_a[start:i]))}|{','.join(map(text_b, ids_b[other:j]))}")
+                if i - before == 1:
+                    own = text_a[a]
+                else:
+                    own = ",".join([text_a[t] for t in ids_a[before:i]])
+                if j - other == 1:
+                    groups.append(f"{own}|{text_b[b]}")
+                else:
+                    groups.append(f"{own}|{','.join([text_b[t] for t in ids_b[other:j]])}")
         except (IndexError, ValueError):  # one side ends within a token of the other, or they differ
             return None
-        return (";".join(groups), array("Q", links).tobytes(), n, j) if j == len(ids_b) else None
+        return (";".join(groups), pack(f"<{len(links)}Q", *links), i, n) if i == len(ids_a) else None
 
     def _cut(self, text: str) -> list[str]:
         """The words of space+text, without the space that each begins with."""
@@ -152,11 +162,10 @@ class Aligner:
         for w in [w for w in new if w in self.older]:
             self.words[w] = self.older[w]
             new.discard(w)
-        new = sorted(new)
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in new], add_special_tokens=False)]
-        ids_b = self.b.encode(new, num_threads=1)
-        for w, x, y in zip(new, ids_a, ids_b, strict=True):
-            self.words[w] = self.align(x, y or [self.b.piece_to_id(SPACE)])
+        new = list(new)
+        ids_a = self.a.encode_batch_fast([" " + w for w in new], add_special_tokens=False)
+        for w, a, b in zip(new, ids_a, self.b.encode(new, num_threads=1), strict=True):
+            self.words[w] = self.align(a.ids, b or [self.empty])
         get, out = self.words.__getitem__, []
         for words in cut:
             parts = list(map(get, words))
@@ -228,6 +237,11 @@ BLOCKS = pa.schema([("block", pa.int64()), *((n, pa.list_(t)) for n, t in ROW),
 SCORED = pa.schema([*ROW[:5], ("n_best", pa.int64()), ("count_sum", pa.int64()), ROW[5]])
 
 
+def _narrow(n: int) -> type:
+    """The type of places in a dictionary of n pairs."""
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
 def _blocks(paths: tuple[str, str], most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """One row for each block: its documents' columns as lists, the links as places in the dictionary, the dictionary with counts."""
 
@@ -235,7 +249,7 @@ def _blocks(paths: tuple[str, str], most: int) -> Callable[[Iterator[pa.RecordBa
         pairs, places, counts = np.unique(np.frombuffer(b"".join(links), np.uint64), return_inverse=True, return_counts=True)
         columns = zip(*rows, strict=True)
         lists = [pa.array([list(c)], pa.list_(t)) for c, (_, t) in zip(columns, ROW, strict=True)]
-        packed = [pa.array([x.tobytes()], pa.binary()) for x in (places.astype(np.uint32), pairs, counts.astype(np.int64))]
+        packed = [pa.array([x.tobytes()], pa.binary()) for x in (places.astype(_narrow(len(pairs))), pairs, counts.astype(np.int64))]
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, *packed], schema=BLOCKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +290,7 @@ def _score(blocks: pa.Table, sums: pa.Table) -> pa.Table:
     total, best = np.zeros(sums.num_rows, np.int64), np.zeros(sums.num_rows, np.int64)
     at = sums["place"].to_numpy()
     total[at], best[at] = sums["total"].to_numpy(), sums["best"].to_numpy()
-    places, ends = np.frombuffer(row["places"], np.uint32), np.cumsum([0, *row["n_links"]])
+    places, ends = np.frombuffer(row["places"], _narrow(sums.num_rows)), np.cumsum([0, *row["n_links"]])
     sums_of = [np.concatenate([[0], np.cumsum(x[places])]) for x in (best, total)]
     new = {"n_best": np.diff(sums_of[0][ends]), "count_sum": np.diff(sums_of[1][ends])}
     return pa.table([pa.array(new.get(f.name, row.get(f.name)), f.type) for f in SCORED], schema=SCORED)
