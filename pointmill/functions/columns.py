@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from pointmill.codec.items import RETURNS8
 
 #: The labels of the classification codes from 0 on; codes beyond them have none.
 CLASSES = [
@@ -50,6 +53,25 @@ def return_context(number_of_returns: Column | str, return_number: Column | str)
     return F.get(F.array(*(F.lit(c) for row in RETURNS8 for c in row)), at)
 
 
+def change_masks14(rows: DataFrame, chunk: str, order: str) -> DataFrame:
+    """chunk, order and mask of each record of formats 6 to 10 but a chunk's first: which values differ from the last ones.
+
+    Bits: 0 and 1 how the return number turns (0 the same, 1 one more, 2 one less, 3 else, modulo 16), 2 number of returns, 3 scan
+    angle, 4 GPS time, 5 source id, 6 the scanner channel of the record before. The last values are those of the last
+    record of the same channel in the chunk; a channel that is met first takes over those of the record before. GPS times are compared
+    as numbers. Columns are those of the format; a window sees one chunk.
+    """
+    fields = ["return_number", "number_of_returns", "scan_angle", "gps_time", "point_source_id"]
+    own, before = Window.partitionBy(chunk, "scanner_channel").orderBy(order), Window.partitionBy(chunk).orderBy(order)
+    last = F.coalesce(F.lag(F.struct(*fields)).over(own), F.lag(F.struct(*fields)).over(before))
+    seen = rows.select(chunk, order, "scanner_channel", *fields, last.alias("_last"), F.lag("scanner_channel").over(before).alias("_channel")).where("_last IS NOT NULL")
+    turn = F.pmod(F.col("return_number") - F.col("_last.return_number"), F.lit(16))
+    bit = lambda c, at: F.when(F.col(c) != F.col(f"_last.{c}"), F.lit(1 << at)).otherwise(F.lit(0))
+    mask = F.when(turn == 0, 0).when(turn == 1, 1).when(turn == 15, 2).otherwise(3)
+    mask = mask + bit("number_of_returns", 2) + bit("scan_angle", 3) + bit("gps_time", 4) + bit("point_source_id", 5) + F.when(F.col("scanner_channel") != F.col("_channel"), 64).otherwise(0)
+    return seen.select(chunk, order, mask.alias("mask"))
+
+
 def digitized(sample: Column, gain: Column | float, offset: Column | float) -> Column:
     """The units of a digitizer's sample."""
     return sample * gain + offset

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pointmill.operators import intervals as I
 from pointmill.operators import quadtree as Q
 from pointmill.sources import index as spatial
+from pointmill.sources import onefile
 from pointmill.sources.las import CHUNK, LasSource
 
 #: Ranges of cells that a box is cut into at most; beyond, they hold more cells than the box.
@@ -83,7 +84,7 @@ def convert(spark: SparkSession, source: str, target: str, add_index: bool = Fal
     order = "new_index" if add_index else "point_index"
     options = {"format": head.format, "extrabytes": head.extra_bytes, "compressed": str(compressed).lower(), "chunk_size": chunk_size, "records": json.dumps(records), "header": json.dumps({k: head[k] for k in KEPT})}
     options |= {f"{k}_{a}": repr(head[f"{k}_{a}"]) for k in ("scale", "offset") for a in "xyz"}
-    points.orderBy(order).select(*columns).write.format("las").options(**options).mode("overwrite").save(target)
+    onefile.write(points.orderBy(order).select(*columns), target, **options)
     new = reader(spark, target, table="header").first()
     same = ["n_points", *(f"{k}_{a}" for k in ("scale", "offset") for a in "xyz")]
     inside = all(head[f"min_{a}"] <= new[f"min_{a}"] and new[f"max_{a}"] <= head[f"max_{a}"] for a in "xyz")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import struct
 import tempfile
 import uuid
@@ -12,22 +13,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointmill.functions import records
 from pointmill.plans import convert, spatial
 from pointmill.plans.points import CHUNK, POINTS_SQL, points
-from pointmill.sources import blobs, layout
+from pointmill.sources import blobs, layout, onefile
 from pointmill.sources.las import LasSource
 
 
 def _path(spark: SparkSession, end: str = "las") -> str:
-    """A new file in the folder that driver and executors share, a temporary one where none is set and one machine does all."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pointmill-")
-    return f"{folder.removeprefix('file:').rstrip('/')}/{uuid.uuid4().hex}.{end}"
+    """A new file in the folder that driver and executors share; a temporary one where none is set and one machine does all (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="pointmill-")
+    return f"{folder.removeprefix('file://').removeprefix('file:').rstrip('/')}/{uuid.uuid4().hex}.{end}"
 
 
 def written(spark: SparkSession, sf_dir: str, fmt: int, end: str = "las", **options: str) -> str:
     spark.dataSource.register(LasSource)
     path = _path(spark, end)
-    points(spark, sf_dir).orderBy("point_index").write.format("las").option("format", fmt).option("wkt", "TEST WKT").options(**options).mode("overwrite").save(path)
+    onefile.write(points(spark, sf_dir).orderBy("point_index"), path, **{"format": str(fmt), "wkt": "TEST WKT"} | options)
     return path
 
 
@@ -115,7 +121,7 @@ def extra_bytes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _path(spark, "laz")
     two = lambda c: F.concat(F.lpad(F.hex(F.col(c) % 256), 2, "0"), F.lpad(F.hex(F.floor(F.col(c) / 256)), 2, "0"))
     p = points(spark, sf_dir).withColumn("extra_bytes", F.unhex(F.concat(two("red"), two("nir"))))
-    p.orderBy("point_index").write.format("las").option("format", 6).option("extrabytes", 4).option("compressed", "true").option("chunk_size", str(CHUNK)).mode("overwrite").save(path)
+    onefile.write(p.orderBy("point_index"), path, format="6", extrabytes="4", compressed="true", chunk_size=str(CHUNK))
     value = lambda at: F.conv(F.concat(F.hex(F.substring("extra_bytes", at + 1, 1)), F.hex(F.substring("extra_bytes", at, 1))), 16, 10).cast("long")
     return convert.reader(spark, path).select("point_index", value(1).alias("red"), value(3).alias("nir"))
 
@@ -150,10 +156,37 @@ def store_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blobs.read(spark, f"file://{_compressed(spark, sf_dir, 1)}", 1).select(*shared_columns(1))
 
 
+def store_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A compressed file by its URI: header, records and table of chunks first, then one range of bytes a partition."""
+    return convert.reader(spark, f"file://{_compressed(spark, sf_dir, 6)}").select(*shared_columns(6))
+
+
+LISTED, LISTED_CHUNK = (7, 0, 7), 100
+
+
+def chunk_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed chunks in the list's order, one of them twice, with each point's place in the output."""
+    path = written(spark, sf_dir, 1, "laz", compressed="true", chunk_size=str(LISTED_CHUNK))
+    return convert.reader(spark, path, chunk_list=",".join(map(str, LISTED))).select("position", "point_index", "x", "gps_time")
+
+
+#: Takes core10 as it is, GPS time under another name, and of the colours what its hook makes of them.
+GRADED = records.UserRecord("graded", {"measured": ("f8", 0.0), "shade": ("u2", 9)}, ("core10", "gps"), {"gps": {"measured": "gps_time"}}, {"rgb": lambda p: {"shade": p["red"] % 1000}})
+
+
+def user_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of format 3 as records of format 1 and two fields of their own, written and read again by their description."""
+    rows = records.stored(records.mapped(convert.reader(spark, written(spark, sf_dir, 3)), GRADED).orderBy("point_index"), GRADED)
+    path = _path(spark)
+    onefile.write(rows, path, format="1", extrabytes=str(records.size(GRADED)), records=_records(("LASF_Spec", 4, records.description(GRADED), False)))
+    payload = convert.reader(spark, path, table="vlr").where(convert.RECORD_KINDS["extra_bytes"]).select("payload").first()[0]
+    return records.unpacked(convert.reader(spark, path), records.described(bytes(payload))).select("point_index", "x", "y", "z", "intensity", "return_number", "classification", "gps_time", "measured", "shade")
+
+
 QUERIES = {**{f"las_roundtrip_pf{k}": _round_trip(k) for k in range(11)}, "header_scan": header_scan, "wkt": wkt}
 COMPRESSED = (0, 1, 2, 3, 6, 7, 8)
 QUERIES |= {f"laz_roundtrip_pf{k}": _compressed_round_trip(k) for k in COMPRESSED}
-QUERIES |= {f.__name__: f for f in (folder_roundtrip, chunk_scan, chunk_facts, codec_items, vlr_roundtrip, geo_keys, extra_bytes_roundtrip, index_roundtrip, box_query_file, converted, store_scan)}
+QUERIES |= {f.__name__: f for f in (folder_roundtrip, chunk_scan, chunk_facts, codec_items, vlr_roundtrip, geo_keys, extra_bytes_roundtrip, index_roundtrip, box_query_file, converted, store_scan, store_ranges, chunk_list, user_record)}
 ORACLES = {f"las_roundtrip_pf{k}": POINTS_SQL + f"SELECT {', '.join(shared_columns(k))} FROM points" for k in range(11)}
 ORACLES |= {
     "header_scan": POINTS_SQL + "SELECT '1.4' AS version, 1 AS format, 28 AS record_length, count(*) AS n_points, CAST(1 AS BIGINT) AS n_vlrs, count(*) FILTER (WHERE return_number = 1) AS first_returns FROM points",
@@ -164,6 +197,9 @@ ORACLES |= {
     "folder_roundtrip": ORACLES["las_roundtrip_pf3"],
     "converted": ORACLES["las_roundtrip_pf3"],
     "store_scan": ORACLES["las_roundtrip_pf1"],
+    "store_ranges": ORACLES["las_roundtrip_pf6"],
+    "chunk_list": POINTS_SQL + f"SELECT k * {LISTED_CHUNK} + point_index % {LISTED_CHUNK} AS position, point_index, x, gps_time FROM points, (VALUES {', '.join(f'({k}, {c})' for k, c in enumerate(LISTED))}) t(k, c) WHERE point_index // {LISTED_CHUNK} = c",
+    "user_record": POINTS_SQL + "SELECT point_index, x, y, z, intensity, return_number, classification, CAST(0 AS DOUBLE) AS gps_time, gps_time AS measured, red % 1000 AS shade FROM points",
     "chunk_scan": POINTS_SQL + f"SELECT point_index, x, gps_time FROM points WHERE point_index // {CHUNK} IN (0, 1)",
     "chunk_facts": POINTS_SQL + "SELECT CAST(0 AS BIGINT) AS chunk_id, count(*) AS n_points, CAST(0 AS BIGINT) AS first_point, count(*) * 20 AS compressed_size FROM points",
     "codec_items": "SELECT 2 AS compressor, * FROM (VALUES (0, 6, 20, 2), (1, 7, 8, 2), (2, 8, 6, 2)) t(ordinal, item_type, item_size, item_version)",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,6 +13,7 @@ from pointmill.functions import columns as C
 from pointmill.operators import checks
 from pointmill.operators import intervals as I
 from pointmill.operators import quadtree as Q
+from pointmill.operators.reduce import reduce
 from pointmill.plans.points import CHUNK, POINTS_SQL, points
 
 LEVEL = 5
@@ -222,6 +225,49 @@ def change_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("point_index", mask.alias("mask"))
 
 
+def change_mask14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs from the last record of the scanner channel, within a chunk, as records of formats 6 to 10 say it."""
+    at = lambda k: F.floor(F.col("point_index") / k)
+    p = points(spark, sf_dir).withColumns({"chunk_id": at(CHUNK), "scanner_channel": at(3) % 4, "scan_angle": F.floor((F.col("z") + 2500) / 1000), "gps_time": at(2) * F.lit(0.001)})
+    return C.change_masks14(p, "chunk_id", "point_index")
+
+
+class Moments:
+    """Count, sums and sums of products of x, y and z, in whole numbers."""
+
+    PAIRS = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
+
+    def __init__(self) -> None:
+        self.n, self.sums, self.products = 0, dict.fromkeys("xyz", 0), dict.fromkeys(self.PAIRS, 0)
+
+    def add(self, batch: pa.RecordBatch) -> Moments:
+        at = {a: batch.column(a).to_numpy(zero_copy_only=False).astype(np.int64) for a in "xyz"}
+        self.n += batch.num_rows
+        self.sums = {a: s + int(at[a].sum()) for a, s in self.sums.items()}
+        self.products = {(a, b): s + int((at[a] * at[b]).sum()) for (a, b), s in self.products.items()}
+        return self
+
+    def merge(self, other: Moments) -> Moments:
+        self.n += other.n
+        self.sums = {a: s + other.sums[a] for a, s in self.sums.items()}
+        self.products = {p: s + other.products[p] for p, s in self.products.items()}
+        return self
+
+    def row(self) -> dict:
+        """Covariances in whole thousandths, towards zero."""
+        out: dict = {"n": self.n}
+        for a, b in self.PAIRS:
+            top = 1000 * (self.n * self.products[a, b] - self.sums[a] * self.sums[b])
+            out[f"cov_{a}{b}"] = (abs(top) // self.n**2 * (1 if top >= 0 else -1)) / 1000 if self.n else None
+        return out
+
+
+def covariance_xyz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covariances of the points' places by a reduction with a state of its own."""
+    kind = "n long, " + ", ".join(f"cov_{a}{b} double" for a, b in Moments.PAIRS)
+    return reduce(points(spark, sf_dir).select(*"xyz").dropna(), Moments, Moments.add, Moments.merge, Moments.row, kind)
+
+
 def _cells_sql(level: int) -> str:
     """A CTE cells: point_index, x, y, the cell's lower corner (lx, ly), size (sx, sy) and number."""
     out = POINTS_SQL + ", box AS (SELECT " + ", ".join(f"CAST(CAST({f}({c}) AS FLOAT) AS DOUBLE) AS {n}{c}" for c in "xy" for f, n in (("min", "min_"), ("max", "max_"))) + " FROM points)"
@@ -243,7 +289,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bounds_negative_scale, legacy_counts, classification_hist, unpack_bit_byte, pack_core14_flags, box_filter_3d, custom_projection, colour_bytes, record_deltas, quadtree_levels, quadtree_cell, cell_at_level, cell_level, cell_bounds,
-        cell_histogram, cell_intervals, index_summary, find_cell_fallback, index_validation, missing_cells, unused_cells, chunk_deltas, interval_chunks, box_query_pruned, recluster_order, diff_readers, top_mismatches, bench_summary, streaming_median, change_mask,
+        cell_histogram, cell_intervals, index_summary, find_cell_fallback, index_validation, missing_cells, unused_cells, chunk_deltas, interval_chunks, box_query_pruned, recluster_order, diff_readers, top_mismatches, bench_summary, streaming_median, change_mask, change_mask14, covariance_xyz,
     )
 }
 _AX, _AY, _BX, _BY = QUERY_BOX
@@ -277,6 +323,12 @@ ORACLES = {
 k AS (SELECT *, coalesce(lag(intensity) OVER (PARTITION BY c, m ORDER BY point_index), 0) AS light FROM l WHERE last_classification IS NOT NULL)
 SELECT point_index, CASE WHEN return_number <> last_return_number OR number_of_returns <> last_number_of_returns THEN 32 ELSE 0 END + CASE WHEN intensity <> light THEN 16 ELSE 0 END
 + CASE WHEN classification <> last_classification THEN 8 ELSE 0 END + CASE WHEN point_source_id <> last_point_source_id THEN 1 ELSE 0 END AS mask FROM k""",
+    "change_mask14": POINTS_SQL + f""", l AS (SELECT point_index, point_index // {CHUNK} AS chunk_id, return_number AS r, number_of_returns AS n, (z + 2500) // 1000 AS a, (point_index // 2) * CAST(0.001 AS DOUBLE) AS t, point_source_id AS s, (point_index // 3) % 4 AS c FROM points),
+k AS (SELECT *, {", ".join(f"coalesce(lag({v}) OVER own, lag({v}) OVER before) AS last_{v}" for v in "rnats")}, lag(c) OVER before AS last_c FROM l WINDOW own AS (PARTITION BY chunk_id, c ORDER BY point_index), before AS (PARTITION BY chunk_id ORDER BY point_index))
+SELECT chunk_id, point_index, CASE (r - last_r + 16) % 16 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 15 THEN 2 ELSE 3 END + CASE WHEN n <> last_n THEN 4 ELSE 0 END + CASE WHEN a <> last_a THEN 8 ELSE 0 END
++ CASE WHEN t <> last_t THEN 16 ELSE 0 END + CASE WHEN s <> last_s THEN 32 ELSE 0 END + CASE WHEN c <> last_c THEN 64 ELSE 0 END AS mask FROM k WHERE last_c IS NOT NULL""",
+    "covariance_xyz": POINTS_SQL + ", s AS (SELECT CAST(count(*) AS HUGEINT) AS n, " + ", ".join(f"CAST(sum({a}) AS HUGEINT) AS s_{a}" for a in "xyz") + ", " + ", ".join(f"CAST(sum(CAST({a} AS HUGEINT) * {b}) AS HUGEINT) AS p_{a}{b}" for a, b in Moments.PAIRS)
+    + " FROM points WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL) SELECT CAST(n AS BIGINT) AS n, " + ", ".join(f"CAST(CAST(1000 * (n * p_{a}{b} - s_{a} * s_{b}) // (n * n) AS BIGINT) AS DOUBLE) / 1000 AS cov_{a}{b}" for a, b in Moments.PAIRS) + " FROM s",
     "chunk_deltas": POINTS_SQL + f"SELECT chunk_id, n - lag(n, 1, 0) OVER (ORDER BY chunk_id) AS delta FROM (SELECT point_index // {CHUNK} AS chunk_id, count(*) AS n FROM points WHERE z > 0 GROUP BY 1)",
     "interval_chunks": CELLS + f"SELECT DISTINCT point_index // {CHUNK} AS chunk_id FROM cells, box WHERE (lx <= {_BX} OR lx <= min_x) AND (lx + sx >= {_AX} OR lx + sx >= max_x) AND (ly <= {_BY} OR ly <= min_y) AND (ly + sy >= {_AY} OR ly + sy >= max_y)",
     "box_query_pruned": POINTS_SQL + f"SELECT point_index, x, y FROM points WHERE x BETWEEN {_AX} AND {_BX} AND y BETWEEN {_AY} AND {_BY}",

@@ -4,6 +4,7 @@
     spark.read.format("las").load(path)                                   points, with point_index
     spark.read.format("las").option("columns", "x,y").load(path)          only these columns, only they are made
     spark.read.format("las").option("chunks", "0,7").load(path)           only these chunks of a compressed file
+    spark.read.format("las").option("chunk_list", "7,0,7").load(path)     these chunks in this order, repeats too, with position
     spark.read.format("las").option("pushdown", "true").load(path)        conditions on point_index choose partitions
     spark.read.format("las").option("table", name).load(path)             header, vlr (extended ones too), chunks, items (of
                                                                           the codec), index (cells and runs), geo_keys, wkt
@@ -13,11 +14,12 @@
 A path is a file, or a folder of .las and .laz files, which count on from each other in the order of their names. A raw file
 is read by ranges of records, a compressed one by chunks, each a partition. With pushdown, which needs the session's
 spark.sql.python.filterPushdown.enabled, conditions on point_index leave out partitions before they are read; without, they
-hold as well, on all partitions. Paths are those of a file system that driver and executors share.
+hold as well, on all partitions. Paths to read are plain ones or URIs (see stores); those to write are plain ones of a file
+system that driver and executors share.
 
 With parts, every writing task makes a whole file of its own, and commit only gives the files their names: that is the way
 for large tables. Without, commit joins the tasks' parts on the driver in the order of tasks and puts the header in front, as
-one file has one header. Either way a lost task leaves nothing behind. Sort by point_index before a write where order matters.
+one file has one header; onefile.write() makes one file with the parts copied by tasks. Either way a lost task leaves nothing behind. Sort by point_index before a write where order matters.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import shutil
 import struct
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pointmill.codec import chunks as codec
 from pointmill.sources import index as spatial
 from pointmill.sources import layout
+from pointmill.sources.stores import files_of, opened
 
 #: Records of one read partition of a raw file, of one Arrow batch, and of a written chunk.
 SPLIT, BATCH, CHUNK = 1 << 20, 1 << 16, 50_000
@@ -55,10 +58,16 @@ _TABLES: dict[str, T.StructType | str] = {
 }
 
 
-def files_of(path: str) -> list[str]:
-    if not os.path.isdir(path):
-        return [path]
-    return [os.path.join(path, f) for f in sorted(os.listdir(path)) if f.lower().endswith((".las", ".laz"))]
+def replace(new: str, target: str) -> None:
+    """Gives a file or folder the target's name. What had it is kept aside until then, so a stop in between loses neither."""
+    aside = f"{target.rstrip('/')}.old-{uuid.uuid4().hex}"
+    if os.path.lexists(target):
+        os.rename(target, aside)
+    os.rename(new, target)
+    if os.path.isdir(aside):
+        shutil.rmtree(aside)
+    elif os.path.exists(aside):
+        os.remove(aside)
 
 
 def _codec_record(f, head: dict) -> codec.Descriptor:  # noqa: ANN001
@@ -97,7 +106,7 @@ def index_of(path: str, records: list[dict]) -> tuple[str, spatial.Index] | None
             except ValueError:
                 break
     try:
-        with open(os.path.splitext(path)[0] + ".lax", "rb") as f:
+        with opened(os.path.splitext(path)[0] + ".lax") as f:
             return "sidecar", spatial.parsed(f.read())
     except (OSError, ValueError):
         return None
@@ -124,6 +133,7 @@ class Range(InputPartition):
     last: int
     place: int = -1
     size: int = 0
+    position: int = 0
 
 
 @dataclass
@@ -148,7 +158,7 @@ class LasSource(DataSource):
         files = files_of(self.options["path"])
         if not files:
             raise FileNotFoundError(f"no .las or .laz file in {self.options['path']}")
-        with open(files[0], "rb") as f:
+        with opened(files[0]) as f:
             return layout.read_header(f)
 
     def schema(self) -> T.StructType | str:
@@ -158,12 +168,13 @@ class LasSource(DataSource):
         h = self._head()
         out = layout.schema(h["format"], h["record_length"])
         wanted = self.options.get("columns")
-        return T.StructType([out[c.strip()] for c in wanted.split(",")]) if wanted else out
+        out = T.StructType([out[c.strip()] for c in wanted.split(",")]) if wanted else out
+        return out.add("position", T.LongType()) if "chunk_list" in self.options else out
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         if self.options.get("table", "points") == "points":
             kind = PrunedPoints if self.options.get("pushdown", "false").lower() == "true" else Points
-            return kind(self.options["path"], self.options.get("chunks"), schema)
+            return kind(self.options["path"], self.options.get("chunks"), schema, self.options.get("chunk_list"))
         return Facts(self.options["path"], self.options["table"], schema)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
@@ -173,8 +184,9 @@ class LasSource(DataSource):
 
 
 class Points(DataSourceReader):
-    def __init__(self, path: str, chosen: str | None, schema: T.StructType):
+    def __init__(self, path: str, chosen: str | None, schema: T.StructType, listed: str | None = None):
         self.path, self.names = path, schema.names
+        self.listed = None if listed is None else [int(c) for c in listed.split(",") if c.strip()]
         self.chosen = None if chosen is None else {int(c) for c in chosen.split(",") if c.strip()}
         self.low, self.high, self.only = 0, 1 << 62, None
 
@@ -182,10 +194,28 @@ class Points(DataSourceReader):
         inside = self.only is None or any(first <= v < last for v in self.only)
         return inside and first <= self.high and last > self.low
 
+    def _list(self) -> list[Range]:
+        """The listed chunks in the list's order, repeats included, each with the place of its first point in the output."""
+        (path,) = files_of(self.path)
+        with opened(path) as f:
+            head = layout.read_header(f)
+            n = head["n_points"]
+            table = chunk_table(f, head, _codec_record(f, head)) if head["compressed"] and n else [(n, 0, 0, -1)]
+        out, position = [], 0
+        for k in self.listed or ():
+            if not 0 <= k < len(table):
+                raise ValueError(f"chunk {k} of {len(table)}")
+            n, first, size, place = table[k]
+            out.append(Range(path, 0, first, first + n, place, size, position))
+            position += n
+        return [r for r in out if self._wanted(r.first, r.last)] or [Range("", 0, 0, 0)]
+
     def partitions(self) -> list[Range]:
+        if self.listed is not None:
+            return self._list()
         out, base = [], 0
         for path in files_of(self.path):
-            with open(path, "rb") as f:
+            with opened(path) as f:
                 head = layout.read_header(f)
                 if head["compressed"]:
                     table = chunk_table(f, head, _codec_record(f, head)) if head["n_points"] else []
@@ -200,7 +230,7 @@ class Points(DataSourceReader):
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         if part.first == part.last:
             return
-        with open(part.path, "rb") as f:
+        with opened(part.path) as f:
             head = layout.read_header(f)
             length, fmt = head["record_length"], head["format"]
             if part.place >= 0:
@@ -210,7 +240,7 @@ class Points(DataSourceReader):
                 if whole.shape[1] != length:
                     raise ValueError("the items make records of another length than the header says")
                 for at in range(0, len(whole), BATCH):
-                    yield self._batch(np.ascontiguousarray(whole[at : at + BATCH]).tobytes(), fmt, length, part.base + part.first + at)
+                    yield self._batch(np.ascontiguousarray(whole[at : at + BATCH]).tobytes(), fmt, length, part.base + part.first + at, part.position + at)
                 return
             for at in range(part.first, part.last, BATCH):
                 n = min(BATCH, part.last - at)
@@ -218,12 +248,13 @@ class Points(DataSourceReader):
                 raw = f.read(n * length)
                 if len(raw) < n * length:
                     raise ValueError("the file ends within its points")
-                yield self._batch(raw, fmt, length, part.base + at)
+                yield self._batch(raw, fmt, length, part.base + at, part.position + at - part.first)
 
-    def _batch(self, raw: bytes, fmt: int, length: int, first: int) -> pa.RecordBatch:
+    def _batch(self, raw: bytes, fmt: int, length: int, first: int, position: int = 0) -> pa.RecordBatch:
         kinds = {f.name: f.dataType for f in layout.schema(fmt, length)}
         arrow = {T.IntegerType(): pa.int32(), T.ShortType(): pa.int16(), T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.FloatType(): pa.float32(), T.BinaryType(): pa.binary()}
-        cols = layout.decode(raw, fmt, length, set(self.names)) | {"point_index": np.arange(first, first + len(raw) // length)}
+        n, kinds["position"] = len(raw) // length, T.LongType()
+        cols = layout.decode(raw, fmt, length, set(self.names)) | {"point_index": np.arange(first, first + n), "position": np.arange(position, position + n)}
         return pa.RecordBatch.from_arrays([pa.array(cols[c] if isinstance(cols[c], list) else cols[c].astype(arrow[kinds[c]].to_pandas_dtype()), arrow[kinds[c]]) for c in self.names], names=list(self.names))
 
 
@@ -249,7 +280,7 @@ class Facts(DataSourceReader):
 
     def read(self, part: InputPartition) -> Iterator[tuple]:
         for path in files_of(self.path):
-            with open(path, "rb") as f:
+            with opened(path) as f:
                 head = layout.read_header(f)
                 for row in getattr(self, f"_{self.table}")(f, head, path):
                     row["file"] = os.path.basename(path)
@@ -293,7 +324,7 @@ class Facts(DataSourceReader):
 
 
 class Writer(DataSourceArrowWriter):
-    """Options: format, extrabytes, scale_x.., offset_x.., compressed, chunk_size, parts, wkt and wkt_math (texts), header (fields
+    """Options: format, extrabytes, scale_x.., offset_x.., compressed, chunk_size, parts, stage (leave the parts), wkt and wkt_math (texts), header (fields
     as JSON: source_id, global_encoding, project_id, system_id), records (JSON list of user_id, record_id, description,
     payload in base 64, extended). Columns that are not there are zero; nulls raise."""
 
@@ -302,7 +333,7 @@ class Writer(DataSourceArrowWriter):
         self.extra = int(options.get("extrabytes", 0))
         self.length = layout.record(self.fmt).itemsize + self.extra
         self.scale, self.offset = ([float(options.get(f"{k}_{a}", d)) for a in "xyz"] for k, d in (("scale", 0.001), ("offset", 0.0)))
-        self.compressed, self.whole = (options.get(k, "false").lower() == "true" for k in ("compressed", "parts"))
+        self.compressed, self.whole, self.stage = (options.get(k, "false").lower() == "true" for k in ("compressed", "parts", "stage"))
         self.chunk = int(options.get("chunk_size", CHUNK))
         if self.compressed:
             codec.items_of(self.fmt, self.extra)
@@ -361,8 +392,8 @@ class Writer(DataSourceArrowWriter):
         f.write(data)
         out.chunks.append((len(rows), len(data)))
 
-    def _assemble(self, to: str, parts: list[Part]) -> None:
-        """One file of the tasks' parts: header, records, points, table of chunks, extended records."""
+    def frame(self, parts: list[Part]) -> tuple[bytes, bytes]:
+        """What comes before the parts' points in one file, header and records, and after them, table of chunks and extended records."""
         counts, sizes = [n for m in parts for n, _ in m.chunks], [s for m in parts for _, s in m.chunks]
         records = [layout.vlr(layout.PROJECTION, n, t.encode() + b"\0") for t, n in self.records]
         records += [layout.vlr(r["user_id"], r["record_id"], base64.b64decode(r["payload"]), r.get("description", "")) for r in self.more if not r.get("extended")]
@@ -379,39 +410,41 @@ class Writer(DataSourceArrowWriter):
         table = codec.table_bytes(counts, sizes) if self.compressed else b""
         end = head["point_offset"] + (8 + sum(sizes) + len(table) if self.compressed else head["n_points"] * self.length)
         head |= {"n_evlrs": len(extended), "evlr_offset": end if extended else 0}
+        pointer = struct.pack("<q", head["point_offset"] + 8 + sum(sizes)) if self.compressed else b""
+        return layout.write_header(head) + before + pointer, table + b"".join(extended)
+
+    def _assemble(self, to: str, parts: list[Part]) -> None:
+        """One file of the tasks' parts."""
+        before, after = self.frame(parts)
         with open(to, "wb") as f:
-            f.write(layout.write_header(head) + before)
-            if self.compressed:
-                f.write(struct.pack("<q", head["point_offset"] + 8 + sum(sizes)))
+            f.write(before)
             for m in parts:
                 with open(m.path, "rb") as part:
                     shutil.copyfileobj(part, f, 1 << 24)
-            f.write(table + b"".join(extended))
+            f.write(after)
 
     def commit(self, messages: list[Part | None]) -> None:
         parts = sorted((m for m in messages if m is not None and m.n), key=lambda m: m.task)
+        if self.stage:
+            os.makedirs(self.parts, exist_ok=True)
+            with open(f"{self.parts}/parts.json", "w", encoding="utf-8") as f:
+                json.dump([asdict(m) | {"path": f"{self.path}/{os.path.basename(m.path)}"} for m in parts], f)
+            replace(self.parts, self.path)
+            return
         if self.whole:
-            end = "laz" if self.compressed else "las"
+            end, folder = "laz" if self.compressed else "las", f"{self.parts}.new"
             if not parts:
                 os.makedirs(self.parts, exist_ok=True)
                 self._assemble(f"{self.parts}/none.whole", [])
                 parts = [Part(0, f"{self.parts}/none")]
-            self._clear()
-            os.makedirs(self.path)
+            os.makedirs(folder)
             for m in parts:
-                os.replace(f"{m.path}.whole", f"{self.path}/part-{m.task:06d}.{end}")
+                os.replace(f"{m.path}.whole", f"{folder}/part-{m.task:06d}.{end}")
+            replace(folder, self.path)
         else:
             self._assemble(whole := f"{self.parts}.whole", parts)
-            self._clear()
-            os.replace(whole, self.path)
+            replace(whole, self.path)
         shutil.rmtree(self.parts, ignore_errors=True)
 
-    def _clear(self) -> None:
-        """Removes what the write replaces."""
-        if os.path.isdir(self.path):
-            shutil.rmtree(self.path)
-        elif os.path.exists(self.path):
-            os.remove(self.path)
-
     def abort(self, messages: list[Part | None]) -> None:
         shutil.rmtree(self.parts, ignore_errors=True)
