@@ -29,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointmill.llm.common import text_bytes, written
+from pointmill.llm.common import text_bytes, uncollected, written
 from pointmill.llm.op3_bpe import byte_symbols
 from pointmill.llm.op13_bytes import Store, ranges
 
 #: Words, and steps, in a worker's stores; code points of a word that is stored, at most.
-CACHE, STORED = 150_000, 64
+CACHE, STORED = 200_000, 64
 #: Bytes of texts whose new words are tokenized together, and of a block. A longer text is a block of its own.
 TOGETHER, BLOCK = 1 << 20, 4 << 20
 SPACE = "▁"
@@ -204,7 +204,9 @@ def _aligned(paths: tuple[str, str], batches: Iterator[pa.RecordBatch]) -> Itera
         for part in _slices(batch, TOGETHER) if batch.num_rows else ():
             # Spark's strings may hold bytes that are no UTF-8; they are read as U+FFFD
             texts = [t.decode("utf-8", "replace") for t in part.column("text").to_pylist()]
-            yield part.column("doc_id").to_pylist(), load(*paths).texts(texts), part.nbytes
+            with uncollected():
+                found = load(*paths).texts(texts)
+            yield part.column("doc_id").to_pylist(), found, part.nbytes
 
 
 LINKS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
