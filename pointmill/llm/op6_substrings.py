@@ -206,8 +206,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, widths: t
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what is left."""
-    return dedup(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """doc_id, n_bytes, n_removed, n_spans, the SHA-256 of what is left, and removed: whether anything was."""
+    kept = [F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")]
+    return dedup(docs).select("doc_id", "n_bytes", "n_removed", *kept, (F.col("n_removed") > 0).alias("removed"))
 
 
 def brute(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, bytes]]:

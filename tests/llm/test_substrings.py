@@ -1,4 +1,6 @@
+import hashlib
 import random
+from collections import Counter
 
 import pytest
 
@@ -31,6 +33,25 @@ def test_edited_copies(spark, length, anchor, widths, letters):
     assert any(w[0] for w in want) and any(not w[0] for w in want)
 
 
+def test_whole_table(spark):
+    """All rows of a table at 400 bytes, against counts of all strings by their hashes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows, length = [(r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect()], op6_substrings.LENGTH
+    hashes = [[hash(t[at : at + length]) for at in range(len(t) - length + 1)] for _, t in rows]
+    seen = Counter(h for own in hashes for h in own)
+    want = []
+    for (i, t), own in zip(rows, hashes, strict=True):
+        gone = bytearray(len(t))
+        for at, h in enumerate(own):
+            if seen[h] > 1:
+                gone[at : at + length] = b"\1" * length
+        kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
+        runs = (b"\0" + bytes(gone)).count(b"\0\1")
+        want.append((i, len(t), len(t) - len(kept), runs, hashlib.sha256(kept).hexdigest(), len(kept) < len(t)))
+    assert sorted(map(tuple, op6_substrings.digest(docs).collect())) == sorted(want)
+    assert 100 < sum(w[5] for w in want) < len(want)
+
+
 def test_stretches(monkeypatch):
     """Units don't depend on where a long text is cut into stretches, but for a cut in two."""
     text = random.Random(1).randbytes(3000)
