@@ -38,8 +38,9 @@ SENSITIVE = [k for k in NAME_PARTS if not any(x in k for x in NAME_PARTS if x !=
 PLACEHOLDER = re.compile(r"example|changeme|placeholder|your|dummy|sample|xxx|\*\*\*|\.\.\.|^\$|^<|^\{|^%|^(?:none|null|true|false|undefined|todo)$", re.IGNORECASE)
 TARGET = re.compile(r"""(?<![\w.\-])([A-Za-z_][\w.\-]*)["'\]]{0,2}[ \t]*(?::[ \t]*[A-Za-z_][\w.]*[ \t]*(?==[^=>]))?(?:=>|:=|=(?!=)|:(?![:/]))[ \t]*""", re.ASCII)
 LITERAL = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`""")
-#: Bare value up to the end of a line, but for a comment.
-BARE = re.compile(r"""([^\s"'`,;#(){}\[\]<>]+)[ \t]*(?:[#;][^\n]*)?(?=\r?\n|\r?\Z)""")
+#: Bare value, and what ends a line after it: a comment or the line's end. Both are matched once for a value, however many
+#: signs it holds.
+BARE, ENDED = re.compile(r"""[^\s"'`,;#(){}\[\]<>]+"""), re.compile(r"[ \t]*(?:[#;]|\r?\n|\r?\Z)")
 #: What may stand before the name on a configuration line.
 LEAD = re.compile(r"[ \t]*(?:(?:export|set|SET|ENV|-)[ \t]+)?[\"']?")
 JOINED = re.compile(r"[ \t]*\+[ \t]*")
@@ -73,7 +74,7 @@ def literal_score(value: str) -> float:
 
 def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]], str]]:
     """(target, spans of its literals, name that it is set to or '') in order."""
-    at, key, line, line_end = 0, "", 0, -1
+    at, key, line, line_end, bare_end, whole = 0, "", 0, -1, -1, False
     while m := TARGET.search(text, at):
         at, target, spans, other = m.end(), m[1], [], ""
         if m.start() > line_end:
@@ -86,16 +87,20 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]], str]]:
             if not (plus := JOINED.match(text, at)):
                 break
             at = plus.end()
-        if not spans and (bare := BARE.match(text, at)):
-            name = NAME.fullmatch(bare[1])
+        if not spans and at >= bare_end:
+            bare = BARE.match(text, at)
+            bare_end = bare.end() if bare else at
+            whole = bare is not None and ENDED.match(text, bare_end) is not None
+        if not spans and whole and at < bare_end:
+            name = NAME.fullmatch(text, at, bare_end)
             sign = m[0][len(m[1]) :].strip("\"'] \t")
             tight = m.end() - m.start() == len(m[1]) + len(sign)
             alone = LEAD.fullmatch(text, line, m.start()) is not None
             # a plain name is another target, but after name= on a line of its own, and where digits show that it is none
-            if alone and (not name or sign == "=" and tight or sign == ":" and any(c.isdigit() for c in bare[1])):
-                spans.append(bare.span(1))
+            if alone and (not name or sign == "=" and tight or sign == ":" and any(c.isdigit() for c in name[0])):
+                spans.append((at, bare_end))
             if name:
-                other = bare[1]
+                other = name[0]
         elif not spans and (name := NAME.match(text, at)) and text[name.end() : name.end() + 1] in (";", ","):
             other = name[0]
         if target.lower() in ("key", "name") and spans:

@@ -111,3 +111,14 @@ def test_rows(spark):
     assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256)) for r in got)
     assert all(r.spans.count(",") + bool(r.spans) == r.n_assign + r.n_access + r.n_hex + r.n_named for r in got)
     assert op5_secrets.scan(docs.limit(0)).count() == 0
+
+
+def test_chained_signs():
+    """Time follows the length, however many signs a line holds."""
+    import time
+
+    began = time.perf_counter()
+    for text in ("token=" + "a=" * 500_000, "token=" + "a:" * 500_000, "a=1;" * 250_000 + "token=b", "token = " * 120_000):
+        op5_secrets.named_spans(text)
+    assert time.perf_counter() - began < 60
+    assert [s[:1] + s[-1:] for s in op5_secrets.named_spans("token=a=b=Zx81kQ90pLmw2")] == [(6, 23)]
