@@ -10,7 +10,7 @@ a bound; beyond it the hashes of lines go to the shards: each task gets a shard
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,8 +24,9 @@ from pointmill.llm.common import BLANKS, by_slices, lower_ascii, remove, text_by
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys of one shard; bytes that a key takes in it, at most; bytes of all shards up to which they are sent to executors;
-#: beyond that, tasks among which a shard's lines are dealt out.
-SHARD_KEYS, KEY_BYTES, INDEX_BYTES, PARTS = 100_000, 32, 64 << 20, 8
+#: beyond that, tasks among which a shard's lines are dealt out at least, and documents with the shard's most frequent key
+#: for each further one.
+SHARD_KEYS, KEY_BYTES, INDEX_BYTES, PARTS, PART_ROWS = 100_000, 32, 64 << 20, 8, 1_000_000
 LEVELS, GAMMA = 24, 2.0
 NO_ID = np.iinfo(np.int64).min
 
@@ -107,9 +108,13 @@ def shard_of(h: np.ndarray, g: np.ndarray, n: np.ndarray, last: np.ndarray) -> S
     return mph, prints, counts, ids, {(int(h[i]), int(g[i])): int(last[i]) for i in rest}
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    shard = shard_of(*(pdf[c].to_numpy(np.int64) for c in ("h", "g", "n", "last")))
-    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "arrays": [pickle.dumps(shard)]})
+def _build(part_rows: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard = shard_of(*(pdf[c].to_numpy(np.int64) for c in ("h", "g", "n", "last")))
+        parts = max(PARTS, -(-int(pdf["n"].max()) // part_rows))
+        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "parts": [parts], "arrays": [pickle.dumps(shard)]})
+
+    return run
 
 
 def index_shards(keys: DataFrame, n: int) -> tuple[int, DataFrame]:
@@ -118,7 +123,7 @@ def index_shards(keys: DataFrame, n: int) -> tuple[int, DataFrame]:
     rows = keys.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
     # pandas keeps 64-bit ids whole only without nulls
     rows = rows.withColumn("last", F.coalesce("last", F.lit(NO_ID)))
-    return shards, rows.groupBy("shard").applyInPandas(_build, "shard int, arrays binary")
+    return shards, rows.groupBy("shard").applyInPandas(_build(PART_ROWS), "shard int, parts int, arrays binary")
 
 
 def _gone(shard: Shard, h: np.ndarray, g: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -169,7 +174,7 @@ def _probe(shared, extra: int):  # noqa: ANN001, ANN202
             drops = int(part.sum())
             dropped.append(drops)
             kept.append(text if not drops else b"\n".join(x for x, g in zip(text.split(b"\n"), part, strict=True) if not g))
-        return [*columns[5 : 5 + extra], lengths, dropped, [k.decode() for k in kept]]
+        return [*columns[5 : 5 + extra], lengths, dropped, [k.decode("utf-8", "replace") for k in kept]]
 
     return work
 
@@ -179,7 +184,7 @@ def dedup(docs: DataFrame, keep: list[str], min_docs: int = MIN_DOCS, index_byte
 
     A null or empty text is one empty line, and kept is then ''. Each row counts as a document, so repeated rows with one
     id all hold the line, and all keep it if theirs is the largest id. Texts may be of any length. A null id is below every other; if only null ids
-    hold a line, none loses it. Other columns than doc_id, text and `keep` are not read; keep must not name the new ones.
+    hold a line, none loses it. Bytes that are no UTF-8 come back as U+FFFD. Other columns than doc_id, text and `keep` are not read; keep must not name the new ones.
     """
     keys = written(frequent(docs, min_docs), "lines")
     n = keys.count()
@@ -226,7 +231,7 @@ def _cut(extra: int):  # noqa: ANN202
             lines, out = text.split(b"\n"), set(gone or ())
             lengths.append(len(lines))
             dropped.append(len(out))
-            kept.append(text.decode() if not out else b"\n".join(x for i, x in enumerate(lines) if i not in out).decode())
+            kept.append((text if not out else b"\n".join(x for i, x in enumerate(lines) if i not in out)).decode("utf-8", "replace"))
         return [*columns[2 : 2 + extra], lengths, dropped, kept]
 
     return work
@@ -239,9 +244,14 @@ def _dealt(rows: DataFrame, shards: int, built: DataFrame, types: StructType) ->
     extra = len(types)
     rows = rows.withColumn("_text", F.coalesce("_text", F.lit(""))).withColumn("_mark", F.xxhash64("_text"))
     lines = rows.select(F.col("_id").alias("id"), F.col("_mark").alias("mark"), F.posexplode(line_keys(F.col("_text"))).alias("at", "k")).where("k IS NOT NULL")
-    lines = lines.select(F.pmod(F.xxhash64("k.h"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("id", "mark", "at"), F.lit(PARTS)).cast("int").alias("part"), "id", "mark", "at", "k.h", "k.g")
+    lines = lines.select(F.pmod(F.xxhash64("k.h"), F.lit(shards)).cast("int").alias("shard"), "id", "mark", "at", "k.h", "k.g")
     null = lambda kind: F.lit(None).cast(kind)
-    arrays = written(built, "shards").select("shard", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), null("long").alias("id"), null("long").alias("mark"), null("int").alias("at"), null("long").alias("h"), null("long").alias("g"), "arrays")
+    table = written(built, "shards")
+    arrays = table.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), null("long").alias("id"), null("long").alias("mark"), null("int").alias("at"), null("long").alias("h"), null("long").alias("g"), "arrays")
+    # shards with a very frequent line: two numbers each, and one shard in SHARD_KEYS keys
+    more = F.broadcast(table.where(F.col("parts") > PARTS).select("shard", "parts"))
+    part = F.pmod(F.xxhash64("id", "mark", "at"), F.coalesce("parts", F.lit(PARTS))).cast("int")
+    lines = lines.join(more, "shard", "left").select("shard", part.alias("part"), "id", "mark", "at", "h", "g")
     both = arrays.unionByName(lines.withColumn("arrays", null("binary"))).repartition("shard", "part").sortWithinPartitions("part", "shard", F.col("arrays").isNull())
     # shard and part make one number, so that each pair of them begins with its arrays
     both = both.withColumn("shard", F.col("part") * shards + F.col("shard"))

@@ -32,3 +32,21 @@ def test_equals_sql(spark, bound, monkeypatch):
     assert sorted((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got) == sorted(want)
     assert all(r.shard == r.doc_id % 3 for r in got) and sum(w[2] for w in want) > 100
     assert op7_lines.dedup(docs.limit(0), ["doc_id"], index_bytes=bound).count() == 0
+
+
+def test_a_very_frequent_line(spark, monkeypatch):
+    """Beyond the bound, the lines of a shard are dealt to tasks by the count of its most frequent key."""
+    monkeypatch.setattr(op7_lines, "PART_ROWS", 3)
+    rows = [(i, f"the very same line in each and every document\nown line number {i}, long enough to be a key {i % 7}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keys = op7_lines.frequent(docs)
+    assert [r.parts for r in op7_lines.index_shards(keys, keys.count())[1].collect()] == [30]
+    got = op7_lines.dedup(docs, ["doc_id"], index_bytes=0).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in got) == sorted(op7_lines.brute(rows))
+
+
+@pytest.mark.parametrize("bound", [op7_lines.INDEX_BYTES, 0])
+def test_bytes_that_are_no_utf8(spark, bound):
+    docs = spark.range(6).selectExpr("id AS doc_id", "cast(concat(X'61FF0A', repeat('same line ', 6)) AS string) AS text")
+    got = op7_lines.dedup(docs, ["doc_id"], index_bytes=bound).orderBy("doc_id").collect()
+    assert [r.kept for r in got[:5]] == ["a\ufffd"] * 5 and got[5].kept == "a\ufffd\n" + "same line " * 6
