@@ -8,12 +8,14 @@
     spark.read.format("las").option("pushdown", "true").load(path)        conditions on point_index choose partitions
     spark.read.format("las").option("table", name).load(path)             header, vlr (extended ones too), chunks, items (of
                                                                           the codec), index (cells and runs), geo_keys, wkt
+    spark.read.format("las").option("table", "vlr").option("payloads", "false").load(path)    records without their payloads
     df.write.format("las").option("format", 3).mode("overwrite").save(path)
     df.write.format("las").option("compressed", "true").option("parts", "true").mode("overwrite").save(folder)
 
 A path is a file, or a folder of .las and .laz files, which count on from each other in the order of their names. A raw file
 is read by ranges of records, a compressed one by chunks, each a partition. With pushdown, which needs the session's
-spark.sql.python.filterPushdown.enabled, conditions on point_index leave out partitions before they are read; without, they
+spark.sql.python.filterPushdown.enabled, conditions on point_index leave out partitions before they are read, those on records
+leave their payloads unread; without, they
 hold as well, on all partitions. Paths to read are plain ones or URIs (see stores); those to write are plain ones of a file
 system that driver and executors share.
 
@@ -71,7 +73,7 @@ def replace(new: str, target: str) -> None:
 
 
 def _codec_record(f, head: dict) -> codec.Descriptor:  # noqa: ANN001
-    for r in layout.read_vlrs(f, head | {"n_evlrs": 0}):
+    for r in layout.read_vlrs(f, head | {"n_evlrs": 0}, is_codec):
         if is_codec(r):
             return codec.described(r["payload"])
     raise ValueError("a compressed file without a record of its items")
@@ -82,6 +84,10 @@ def is_codec(record: dict) -> bool:
     return record["kind"] == "vlr" and record["reserved"] in (0, codec.MARK) and record["user_id"] in ("laszip encoded", "LAZ encoded") and record["record_id"] == codec.NUMBER
 
 
+def _projection(record: dict) -> bool:
+    return record["user_id"] == layout.PROJECTION
+
+
 def chunk_table(f, head: dict, d: codec.Descriptor) -> list[tuple[int, int, int, int]]:  # noqa: ANN001
     """(points, first point, bytes, place in the file) of each chunk."""
     f.seek(head["point_offset"])
@@ -175,7 +181,8 @@ class LasSource(DataSource):
         if self.options.get("table", "points") == "points":
             kind = PrunedPoints if self.options.get("pushdown", "false").lower() == "true" else Points
             return kind(self.options["path"], self.options.get("chunks"), schema, self.options.get("chunk_list"))
-        return Facts(self.options["path"], self.options["table"], schema)
+        pruned = self.options["table"] == "vlr" and self.options.get("pushdown", "false").lower() == "true"
+        return (PrunedFacts if pruned else Facts)(self.options["path"], self.options["table"], schema, self.options.get("payloads", "true").lower() == "true")
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
         if os.path.exists(self.options["path"]) and not overwrite:
@@ -275,8 +282,13 @@ class PrunedPoints(Points):
 
 
 class Facts(DataSourceReader):
-    def __init__(self, path: str, table: str, schema: T.StructType):
-        self.path, self.table, self.names = path, table, schema.names
+    def __init__(self, path: str, table: str, schema: T.StructType, payloads: bool = True):
+        self.path, self.table, self.names, self.payloads = path, table, schema.names, payloads
+        self.only: list[tuple[str, set]] = []
+
+    def _wants(self, record: dict) -> bool:
+        """Whether a record's payload is read; else it is passed over."""
+        return self.payloads and all(record[c] in values for c, values in self.only)
 
     def read(self, part: InputPartition) -> Iterator[tuple]:
         for path in files_of(self.path):
@@ -290,7 +302,7 @@ class Facts(DataSourceReader):
         return [head | {"extra_bytes": head["record_length"] - layout.record(head["format"]).itemsize}]
 
     def _vlr(self, f, head: dict, path: str) -> list[dict]:  # noqa: ANN001, ARG002
-        return layout.read_vlrs(f, head)
+        return layout.read_vlrs(f, head, self._wants)
 
     def _chunks(self, f, head: dict, path: str) -> list[dict]:  # noqa: ANN001, ARG002
         """A raw file is one chunk."""
@@ -305,7 +317,7 @@ class Facts(DataSourceReader):
         return [{"compressor": d.compressor, "chunk_size": d.chunk_size, "ordinal": k, "item_type": i.type, "item_size": i.size, "item_version": i.version} for k, i in enumerate(d.items)]
 
     def _index(self, f, head: dict, path: str) -> list[dict]:  # noqa: ANN001
-        found = index_of(path, layout.read_vlrs(f, head))
+        found = index_of(path, layout.read_vlrs(f, head, lambda r: r["kind"] == "evlr" and (r["user_id"], r["record_id"]) == (spatial.USER, spatial.NUMBER)))
         if found is None:
             return []
         source, i = found
@@ -313,16 +325,26 @@ class Facts(DataSourceReader):
         return [box | {"cell": c, "number_points": sum(b - a + 1 for a, b in runs), "intervals": runs} for c, runs in i.cells.items()]
 
     def _geo_keys(self, f, head: dict, path: str) -> list[dict]:  # noqa: ANN001, ARG002
-        own = {r["record_id"]: r["payload"] for r in layout.read_vlrs(f, head) if r["user_id"] == layout.PROJECTION and r["kind"] == "vlr"}
+        own = {r["record_id"]: r["payload"] for r in layout.read_vlrs(f, head, _projection) if r["user_id"] == layout.PROJECTION and r["kind"] == "vlr"}
         if layout.DIRECTORY not in own:
             return []
         return layout.geo_keys(own[layout.DIRECTORY], own.get(layout.DOUBLES, b""), own.get(layout.TEXT, b""))
 
     def _wkt(self, f, head: dict, path: str) -> list[dict]:  # noqa: ANN001, ARG002
-        math, coordinate = wkt_of(layout.read_vlrs(f, head))
+        math, coordinate = wkt_of(layout.read_vlrs(f, head, _projection))
         return [{"math": math, "coordinate": coordinate}]
 
 
+class PrunedFacts(Facts):
+    """Records whose conditions don't hold aren't read further than their headers; Spark leaves them out."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute in (("kind",), ("user_id",), ("record_id",), ("ordinal",)):
+                self.only.append((f.attribute[0], set(f.value) if isinstance(f, In) else {f.value}))
+            yield f
+
+
 class Writer(DataSourceArrowWriter):
     """Options: format, extrabytes, scale_x.., offset_x.., compressed, chunk_size, parts, stage (leave the parts), wkt and wkt_math (texts), header (fields
     as JSON: source_id, global_encoding, project_id, system_id), records (JSON list of user_id, record_id, description,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 import numpy as np
@@ -129,8 +130,8 @@ def write_header(h: dict) -> bytes:
     return head + _TAIL.pack(0, h.get("evlr_offset", 0), h.get("n_evlrs", 0), h["n_points"], *by)
 
 
-def read_vlrs(f, h: dict) -> list[dict]:  # noqa: ANN001
-    """All variable length records, extended ones last."""
+def read_vlrs(f, h: dict, wanted: Callable[[dict], bool] = lambda r: True) -> list[dict]:  # noqa: ANN001
+    """All variable length records, extended ones last. Payloads of those not wanted are not read and are null."""
     out = []
     for kind, head, at, n in (("vlr", _VLR, h["header_size"], h["n_vlrs"]), ("evlr", _EVLR, h["evlr_offset"], h["n_evlrs"])):
         f.seek(at)
@@ -139,10 +140,14 @@ def read_vlrs(f, h: dict) -> list[dict]:  # noqa: ANN001
             if len(raw) < head.size:
                 raise ValueError("the file ends within a record header")
             reserved, user, number, length, text = head.unpack(raw)
-            place, payload = f.tell(), f.read(length)
-            if len(payload) < length:
-                raise ValueError("the file ends within a record")
-            out.append({"kind": kind, "ordinal": k, "reserved": reserved, "user_id": _text(user), "record_id": number, "description": _text(text), "length": length, "payload_offset": place, "payload": payload})
+            row = {"kind": kind, "ordinal": k, "reserved": reserved, "user_id": _text(user), "record_id": number, "description": _text(text), "length": length, "payload_offset": f.tell(), "payload": None}
+            if wanted(row):
+                row["payload"] = f.read(length)
+                if len(row["payload"]) < length:
+                    raise ValueError("the file ends within a record")
+            else:
+                f.seek(length, 1)
+            out.append(row)
     return out
 
 

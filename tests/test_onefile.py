@@ -1,13 +1,17 @@
 """One file placed by tasks: the same bytes as joined on the driver, stage order, a stop in between; files by URI; ordered chunk lists."""
 
+import base64
+import io
+import json
 import os
 
 import pytest
+from pyspark.sql.datasource import EqualTo, In
 
 from pointmill.plans import convert
 from pointmill.plans.points import points
 from pointmill.sources import las as source
-from pointmill.sources import onefile
+from pointmill.sources import layout, onefile
 
 SF = "/root/testdata/sf0.001"
 KINDS = [{"format": "3"}, {"format": "7", "compressed": "true", "chunk_size": "90", "wkt": "W"}]
@@ -119,3 +123,34 @@ def test_chunk_lists(las, tmp_path):
     for bad in ("4", "0,-1"):
         with pytest.raises(Exception, match="chunk"):
             convert.reader(las, path, chunk_list=bad).count()
+
+
+class Counted(io.BytesIO):
+    done = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.done += len(out)
+        return out
+
+
+def test_payloads_are_left_unread(las, tmp_path):
+    """Bytes read don't grow with payloads that nothing asks for; pushed conditions choose the payloads."""
+    path = f"{tmp_path}/a.las"
+    big = base64.b64encode(bytes(60_000)).decode()
+    records = [{"user_id": "own", "record_id": k, "payload": big, "extended": k > 1} for k in range(4)]
+    onefile.write(rows(las), path, format="1", wkt="W", records=json.dumps(records))
+    with open(path, "rb") as f:
+        file = Counted(f.read())
+    head = layout.read_header(file)
+    file.done = 0
+    got = layout.read_vlrs(file, head, lambda r: r["user_id"] != "own")
+    assert file.done < 500 and [r["payload"] and len(r["payload"]) for r in got] == [2, None, None, None, None] and len({r["payload_offset"] for r in got}) == 5
+    table = lambda **options: convert.reader(las, path, table="vlr", **options)
+    assert [r.payload for r in table(payloads="false").collect()] == [None] * 5
+    some = table().where("user_id = 'own' AND record_id IN (1, 3)").collect()
+    assert [(r.kind, r.record_id, len(r.payload)) for r in some] == [("vlr", 1, 60_000), ("evlr", 3, 60_000)]
+    facts = source.PrunedFacts(path, "vlr", source.T.StructType(), True)
+    list(facts.pushFilters([EqualTo(("user_id",), "own"), In(("record_id",), (1, 3))]))
+    assert [facts._wants(r) for r in got] == [False, False, True, False, True]
+    assert table().count() == 5 == len([r for r in table(pushdown="false").collect() if r.payload])
