@@ -48,3 +48,18 @@ def test_written_shards(spark, rows, tmp_path):
     got = op9_sharding.write_shards(docs, str(tmp_path / "out"), 3, bucket_bytes=4000)
     assert got.count() == len(rows) and sorted(r.shard for r in got.select("shard").distinct().collect()) == [0, 1, 2]
     assert op9_sharding.shard(docs.limit(0), 3).count() == 0
+
+
+def test_coarse_buckets(spark, rows):
+    """More buckets than one pass may have: several passes of few partitions, with the same places as one."""
+    docs = spark.createDataFrame([r for r in rows if r[0] is not None and r[1] != "same"], KIND).repartition(3)
+    place = lambda most: {(r.doc_id, r.text): (r.shard, r.slot) for r in op9_sharding.shard(docs, 5, 1, 500, most).collect()}
+    one = place(4096)
+    assert one == place(8) == place(3) and len(one) == 152
+
+
+def test_a_text_larger_than_its_bucket(spark):
+    docs = spark.createDataFrame([(i, "x" * (5_000_000 if i == 3 else 10)) for i in range(20)], "doc_id long, text string")
+    got = op9_sharding.shard(docs, 4, bucket_bytes=1_000_000).select("doc_id", "size", "shard", "slot").collect()
+    assert sorted(r.doc_id for r in got) == list(range(20)) and max(r["size"] for r in got) == 5_000_016
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(4) for k in range(5)]
