@@ -38,6 +38,21 @@ def class_label(code: Column | str) -> Column:
     return F.get(names, F.col(code).cast("int") if isinstance(code, str) else code.cast("int"))
 
 
+def colour_bytes(colour: Column | str) -> tuple[Column, Column]:
+    """The low and the high byte of a colour of 16 bits."""
+    return bits(colour, 0, 8), bits(colour, 8, 8)
+
+
+def colour_of(low: Column | str, high: Column | str) -> Column:
+    """The colour of 16 bits from its bytes."""
+    return packed((low, 0), (high, 8))
+
+
+def array_text(values: Column | str) -> Column:
+    """An array's values in brackets, separated by commas; nulls in it are left out, a null array is null."""
+    return F.concat(F.lit("["), F.array_join(F.col(values) if isinstance(values, str) else values, ", "), F.lit("]"))
+
+
 #: Meaning of the bits of the global encoding, by the published layout.
 ENCODINGS = ["GPS time", "Waveform data internal", "Waveform data external", "Synthetic return numbers", "WKT"]
 

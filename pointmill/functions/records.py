@@ -73,6 +73,46 @@ def mapped(points: DataFrame, record: UserRecord) -> DataFrame:
     return points.select(*index, *(c.alias(n) for n, c in out.items()))
 
 
+#: Fields of records, the fields of a point of the common C interface that they come from, and their bits there.
+_PLACE = {"x": ("X", 32), "y": ("Y", 32), "z": ("Z", 32), "intensity": ("intensity", 16), "user_data": ("user_data", 8), "point_source_id": ("point_source_ID", 16), "scan_direction_flag": ("scan_direction_flag", 1), "edge_of_flight_line": ("edge_of_flight_line", 1)}
+FOREIGN = {
+    "core10": _PLACE | {
+        "return_number": ("return_number", 3), "number_of_returns": ("number_of_returns", 3), "classification": ("classification", 5), "synthetic": ("synthetic_flag", 1),
+        "key_point": ("keypoint_flag", 1), "withheld": ("withheld_flag", 1), "scan_angle_rank": ("scan_angle_rank", 8),
+    },
+    "core14": _PLACE | {
+        "return_number": ("extended_return_number", 4), "number_of_returns": ("extended_number_of_returns", 4), "classification_flags": ("extended_classification_flags", 4), "scanner_channel": ("extended_scanner_channel", 2),
+        "classification": ("extended_classification", 8), "scan_angle": ("extended_scan_angle", 16), "gps_time": ("gps_time", 64),
+    },
+    "gps": {"gps_time": ("gps_time", 64)},
+    "rgb": {"red": ("rgb", 0), "green": ("rgb", 1), "blue": ("rgb", 2)},
+}
+FORMATS = {0: ["core10"], 1: ["core10", "gps"], 2: ["core10", "rgb"], 3: ["core10", "gps", "rgb"], 6: ["core14"], 7: ["core14", "rgb"]}
+_SIGNED = ("x", "y", "z", "scan_angle", "scan_angle_rank")
+
+
+def from_foreign(points: DataFrame, fmt: int) -> DataFrame:
+    """Points as other programs' interface holds them, as records of a format: wider fields lose what has no place in the record.
+
+    Columns are those of FOREIGN, rgb an array; point_index is kept if there. Formats 0, 1, 2, 3, 6 and 7; others raise ValueError.
+    Signed fields keep their low bits with the sign. A null stays null.
+    """
+    if fmt not in FORMATS:
+        raise ValueError(f"format {fmt}")
+    out = ["point_index"] if "point_index" in points.columns else []
+    for part in FORMATS[fmt]:
+        for name, (own, bits) in FOREIGN[part].items():
+            if part == "rgb":
+                value = F.col(own)[bits].cast("long").bitwiseAND(0xFFFF).cast("int")
+            elif bits == 64:
+                value = F.col(own).cast("double")
+            else:
+                low, half = F.col(own).cast("long"), 1 << (bits - 1)
+                value = (F.pmod(low + half, F.lit(1 << bits)) - half if name in _SIGNED else F.pmod(low, F.lit(1 << bits))).cast("int")
+            out.append(value.alias(name))
+    return points.select(*out)
+
+
 def size(record: UserRecord) -> int:
     """Bytes of the record's fields as extra bytes."""
     return sum(np.dtype(kind).itemsize for kind, _ in record.fields.values())

@@ -90,3 +90,10 @@ def reordered(points: DataFrame, block: int = BLOCK) -> DataFrame:
     first = counts.join(cells, "cell").select("cell", "block", (F.col("base") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("first"))
     own = Window.partitionBy("cell", "block").orderBy("point_index")
     return dealt.join(first, ["cell", "block"]).withColumn("new_index", F.col("first") + F.row_number().over(own) - 1).drop("block", "first")
+
+
+def largest_batch(chunks: DataFrame, batch: int) -> DataFrame:
+    """batch, n_points: the batch of so many consecutive chunks (chunk_id, n_points) that holds the most points, the first of several; none without chunks."""
+    sums = chunks.groupBy(F.floor(F.col("chunk_id") / F.lit(batch)).alias("batch")).agg(F.sum("n_points").alias("n_points"))
+    best = sums.agg(F.max(F.struct("n_points", (-F.col("batch")).alias("at"))).alias("m")).where("m IS NOT NULL")
+    return best.select((-F.col("m.at")).alias("batch"), F.col("m.n_points").alias("n_points"))

@@ -9,11 +9,13 @@ need not be commutative, as states are joined in the order of df's partitions. N
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,3 +57,34 @@ def reduce(df: DataFrame, start: Callable[[], Any], step: Callable[[Any, pa.Reco
     for _ in range(LEVELS - 1):
         states = states.groupBy(F.expr(f"at div {FAN}")).applyInArrow(merge, kind)
     return states.groupBy().applyInArrow(merge, kind).mapInArrow(last, schema)
+
+
+class Bounds:
+    """Bounds of x and y that grow with what they are shown; nothing is within those that were shown nothing. Nulls don't count."""
+
+    def __init__(self) -> None:
+        self.min_x = self.min_y = math.inf
+        self.max_x = self.max_y = -math.inf
+
+    def update(self, x: float, y: float) -> Bounds:
+        self.min_x, self.min_y = min(self.min_x, x), min(self.min_y, y)
+        self.max_x, self.max_y = max(self.max_x, x), max(self.max_y, y)
+        return self
+
+    def contains(self, x: float, y: float) -> bool:
+        return self.min_x <= x <= self.max_x and self.min_y <= y <= self.max_y
+
+    def add(self, batch: pa.RecordBatch) -> Bounds:
+        whole = batch.filter(pc.and_(batch.column("x").is_valid(), batch.column("y").is_valid()))
+        if whole.num_rows:
+            ends = [pc.min_max(whole.column(a)).as_py() for a in "xy"]
+            self.update(ends[0]["min"], ends[1]["min"]).update(ends[0]["max"], ends[1]["max"])
+        return self
+
+    def merge(self, other: Bounds) -> Bounds:
+        return self.update(other.min_x, other.min_y).update(other.max_x, other.max_y) if other.min_x <= other.max_x else self
+
+    def row(self) -> dict:
+        return {k: float(v) if math.isfinite(v) else None for k, v in vars(self).items()}
+
+    KIND = "min_x double, min_y double, max_x double, max_y double"

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointmill.functions import records
+from pointmill.operators.intervals import largest_batch as largest
 from pointmill.plans import convert, spatial
 from pointmill.plans.points import CHUNK, POINTS_SQL, points
 from pointmill.sources import blobs, layout, onefile
@@ -183,10 +184,32 @@ def user_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.unpacked(convert.reader(spark, path), records.described(bytes(payload))).select("point_index", "x", "y", "z", "intensity", "return_number", "classification", "gps_time", "measured", "shade")
 
 
+BATCH_CHUNKS = 3
+
+
+def largest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch of consecutive chunks that needs the largest buffer."""
+    path = written(spark, sf_dir, 1, "laz", compressed="true", chunk_size="170")
+    return largest(convert.reader(spark, path, table="chunks"), BATCH_CHUNKS)
+
+
+def foreign_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of another program's interface, with values wider than their fields, as records of format 7, written and read again."""
+    e = F.col("point_index")
+    wide = points(spark, sf_dir).select(
+        e, F.col("x").alias("X"), F.col("y").alias("Y"), F.col("z").alias("Z"), "intensity", (e % 300).alias("extended_return_number"), (e % 77).alias("extended_number_of_returns"), (e % 40).alias("extended_classification_flags"),
+        (e % 9).alias("extended_scanner_channel"), (e % 2).alias("scan_direction_flag"), (e % 3 % 2).alias("edge_of_flight_line"), F.col("classification").alias("extended_classification"), (e % 1000).alias("user_data"),
+        (e * 3 - 40000).alias("extended_scan_angle"), F.col("point_source_id").alias("point_source_ID"), "gps_time", F.array("red", "green", "blue").alias("rgb"),
+    )
+    path = _path(spark)
+    onefile.write(records.from_foreign(wide, 7).orderBy("point_index"), path, format="7")
+    return convert.reader(spark, path).select("point_index", "x", "y", "z", "return_number", "number_of_returns", "classification_flags", "scanner_channel", "classification", "user_data", "scan_angle", "point_source_id", "gps_time", "blue")
+
+
 QUERIES = {**{f"las_roundtrip_pf{k}": _round_trip(k) for k in range(11)}, "header_scan": header_scan, "wkt": wkt}
 COMPRESSED = (0, 1, 2, 3, 6, 7, 8)
 QUERIES |= {f"laz_roundtrip_pf{k}": _compressed_round_trip(k) for k in COMPRESSED}
-QUERIES |= {f.__name__: f for f in (folder_roundtrip, chunk_scan, chunk_facts, codec_items, vlr_roundtrip, geo_keys, extra_bytes_roundtrip, index_roundtrip, box_query_file, converted, store_scan, store_ranges, chunk_list, user_record)}
+QUERIES |= {f.__name__: f for f in (folder_roundtrip, chunk_scan, chunk_facts, codec_items, vlr_roundtrip, geo_keys, extra_bytes_roundtrip, index_roundtrip, box_query_file, converted, store_scan, store_ranges, chunk_list, user_record, largest_batch, foreign_points)}
 ORACLES = {f"las_roundtrip_pf{k}": POINTS_SQL + f"SELECT {', '.join(shared_columns(k))} FROM points" for k in range(11)}
 ORACLES |= {
     "header_scan": POINTS_SQL + "SELECT '1.4' AS version, 1 AS format, 28 AS record_length, count(*) AS n_points, CAST(1 AS BIGINT) AS n_vlrs, count(*) FILTER (WHERE return_number = 1) AS first_returns FROM points",
@@ -198,6 +221,9 @@ ORACLES |= {
     "converted": ORACLES["las_roundtrip_pf3"],
     "store_scan": ORACLES["las_roundtrip_pf1"],
     "store_ranges": ORACLES["las_roundtrip_pf6"],
+    "largest_batch": POINTS_SQL + f"SELECT point_index // {170 * BATCH_CHUNKS} AS batch, count(*) AS n_points FROM points GROUP BY 1 ORDER BY n_points DESC, batch LIMIT 1",
+    "foreign_points": POINTS_SQL + "SELECT point_index, x, y, z, point_index % 300 % 16 AS return_number, point_index % 77 % 16 AS number_of_returns, point_index % 40 % 16 AS classification_flags, point_index % 9 % 4 AS scanner_channel, classification, point_index % 1000 % 256 AS user_data, "
+    "(point_index * 3 - 40000 + 32768 + 655360) % 65536 - 32768 AS scan_angle, point_source_id % 65536 AS point_source_id, gps_time, blue FROM points",
     "chunk_list": POINTS_SQL + f"SELECT k * {LISTED_CHUNK} + point_index % {LISTED_CHUNK} AS position, point_index, x, gps_time FROM points, (VALUES {', '.join(f'({k}, {c})' for k, c in enumerate(LISTED))}) t(k, c) WHERE point_index // {LISTED_CHUNK} = c",
     "user_record": POINTS_SQL + "SELECT point_index, x, y, z, intensity, return_number, classification, CAST(0 AS DOUBLE) AS gps_time, gps_time AS measured, red % 1000 AS shade FROM points",
     "chunk_scan": POINTS_SQL + f"SELECT point_index, x, gps_time FROM points WHERE point_index // {CHUNK} IN (0, 1)",

@@ -13,7 +13,7 @@ from pointmill.functions import columns as C
 from pointmill.operators import checks
 from pointmill.operators import intervals as I
 from pointmill.operators import quadtree as Q
-from pointmill.operators.reduce import reduce
+from pointmill.operators.reduce import Bounds, reduce
 from pointmill.plans.points import CHUNK, POINTS_SQL, points
 
 LEVEL = 5
@@ -268,6 +268,19 @@ def covariance_xyz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(points(spark, sf_dir).select(*"xyz").dropna(), Moments, Moments.add, Moments.merge, Moments.row, kind)
 
 
+def bounds_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds by showing them all points, task by task."""
+    return reduce(points(spark, sf_dir).select("x", "y"), Bounds, Bounds.add, Bounds.merge, Bounds.row, Bounds.KIND)
+
+
+def colour_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours as bytes and back, and all of them as text."""
+    colours = ("red", "green", "blue")
+    p = points(spark, sf_dir).select("point_index", *(b.alias(f"{c}_{k}") for c in colours for k, b in enumerate(C.colour_bytes(c))))
+    p = p.select("point_index", *(C.colour_of(f"{c}_0", f"{c}_1").alias(c) for c in colours))
+    return p.withColumn("text", C.array_text(F.array(*colours)))
+
+
 def _cells_sql(level: int) -> str:
     """A CTE cells: point_index, x, y, the cell's lower corner (lx, ly), size (sx, sy) and number."""
     out = POINTS_SQL + ", box AS (SELECT " + ", ".join(f"CAST(CAST({f}({c}) AS FLOAT) AS DOUBLE) AS {n}{c}" for c in "xy" for f, n in (("min", "min_"), ("max", "max_"))) + " FROM points)"
@@ -289,7 +302,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bounds_negative_scale, legacy_counts, classification_hist, unpack_bit_byte, pack_core14_flags, box_filter_3d, custom_projection, colour_bytes, record_deltas, quadtree_levels, quadtree_cell, cell_at_level, cell_level, cell_bounds,
-        cell_histogram, cell_intervals, index_summary, find_cell_fallback, index_validation, missing_cells, unused_cells, chunk_deltas, interval_chunks, box_query_pruned, recluster_order, diff_readers, top_mismatches, bench_summary, streaming_median, change_mask, change_mask14, covariance_xyz,
+        cell_histogram, cell_intervals, index_summary, find_cell_fallback, index_validation, missing_cells, unused_cells, chunk_deltas, interval_chunks, box_query_pruned, recluster_order, diff_readers, top_mismatches, bench_summary, streaming_median, change_mask, change_mask14, covariance_xyz, bounds_reduced, colour_roundtrip,
     )
 }
 _AX, _AY, _BX, _BY = QUERY_BOX
@@ -329,6 +342,8 @@ SELECT chunk_id, point_index, CASE (r - last_r + 16) % 16 WHEN 0 THEN 0 WHEN 1 T
 + CASE WHEN t <> last_t THEN 16 ELSE 0 END + CASE WHEN s <> last_s THEN 32 ELSE 0 END + CASE WHEN c <> last_c THEN 64 ELSE 0 END AS mask FROM k WHERE last_c IS NOT NULL""",
     "covariance_xyz": POINTS_SQL + ", s AS (SELECT CAST(count(*) AS HUGEINT) AS n, " + ", ".join(f"CAST(sum({a}) AS HUGEINT) AS s_{a}" for a in "xyz") + ", " + ", ".join(f"CAST(sum(CAST({a} AS HUGEINT) * {b}) AS HUGEINT) AS p_{a}{b}" for a, b in Moments.PAIRS)
     + " FROM points WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL) SELECT CAST(n AS BIGINT) AS n, " + ", ".join(f"CAST(CAST(1000 * (n * p_{a}{b} - s_{a} * s_{b}) // (n * n) AS BIGINT) AS DOUBLE) / 1000 AS cov_{a}{b}" for a, b in Moments.PAIRS) + " FROM s",
+    "bounds_reduced": POINTS_SQL + "SELECT CAST(min(x) AS DOUBLE) AS min_x, CAST(min(y) AS DOUBLE) AS min_y, CAST(max(x) AS DOUBLE) AS max_x, CAST(max(y) AS DOUBLE) AS max_y FROM points WHERE x IS NOT NULL AND y IS NOT NULL",
+    "colour_roundtrip": POINTS_SQL + "SELECT point_index, red, green, blue, '[' || red || ', ' || green || ', ' || blue || ']' AS text FROM points",
     "chunk_deltas": POINTS_SQL + f"SELECT chunk_id, n - lag(n, 1, 0) OVER (ORDER BY chunk_id) AS delta FROM (SELECT point_index // {CHUNK} AS chunk_id, count(*) AS n FROM points WHERE z > 0 GROUP BY 1)",
     "interval_chunks": CELLS + f"SELECT DISTINCT point_index // {CHUNK} AS chunk_id FROM cells, box WHERE (lx <= {_BX} OR lx <= min_x) AND (lx + sx >= {_AX} OR lx + sx >= max_x) AND (ly <= {_BY} OR ly <= min_y) AND (ly + sy >= {_AY} OR ly + sy >= max_y)",
     "box_query_pruned": POINTS_SQL + f"SELECT point_index, x, y FROM points WHERE x BETWEEN {_AX} AND {_BX} AND y BETWEEN {_AY} AND {_BY}",

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pointmill.functions import columns as C
 from pointmill.functions import records as R
-from pointmill.operators.reduce import reduce
+from pointmill.operators.intervals import largest_batch
+from pointmill.operators.reduce import Bounds, reduce
 from pointmill.plans.points import points
 from pointmill.plans.spatial import Moments
 
@@ -86,3 +87,47 @@ def test_change_masks(spark):
             want[r[1]] = mask
             last[r[2]] = before = r
     assert got == want and len(got) == 126
+
+
+@pytest.mark.parametrize("fmt", [0, 1, 2, 3, 6, 7])
+def test_foreign_points(spark, fmt):
+    """Each field's bits, signs kept, for every format; a null stays null."""
+    own = {n: b for p in R.FORMATS[fmt] for n, b in R.FOREIGN[p].items()}
+    names = sorted({n for n, _ in own.values()} - {"rgb"})
+    values = [-70_001, -129, -1, 0, 3, 37, 255, 300, 70_000, None]
+    rows = [(k, *(v if v is None or n != "gps_time" else float(v) for n in names), [v, 65_536 + k, 9]) for k, v in enumerate(values)]
+    kind = "point_index long, " + ", ".join(f"{n} {'double' if n == 'gps_time' else 'long'}" for n in names) + ", rgb array<long>"
+    got = R.from_foreign(spark.createDataFrame(rows, kind), fmt).orderBy("point_index").collect()
+    signed = {"x", "y", "z", "scan_angle", "scan_angle_rank"}
+    for r, v in zip(got, values, strict=True):
+        for n, (source, bits) in own.items():
+            want = v if source != "rgb" else (v, 65_536 + r.point_index, 9)[bits]
+            bits = 16 if source == "rgb" else bits
+            if want is not None and bits < 64:
+                half = 1 << (bits - 1)
+                want = (want + half) % (1 << bits) - half if n in signed else want % (1 << bits)
+            assert r[n] == want, n
+    for bad in (4, 5, 8, 11):
+        with pytest.raises(ValueError, match="format"):
+            R.from_foreign(spark.createDataFrame(rows, kind), bad)
+
+
+def test_bounds(spark):
+    kind = "x double, y double"
+    df = spark.createDataFrame([(1.5, 2.0), (None, 99.0), (-3.0, None), (0.0, -7.0)], kind)
+    run = lambda d: tuple(reduce(d, Bounds, Bounds.add, Bounds.merge, Bounds.row, Bounds.KIND).first())
+    assert run(df.repartition(4)) == (0.0, -7.0, 1.5, 2.0)
+    assert run(df.limit(0)) == run(df.where("x IS NULL")) == (None,) * 4
+    b = Bounds()
+    assert not b.contains(0, 0) and b.update(1, 2).contains(1, 2) and not b.contains(1, 3) and b.update(0, 5).contains(0.5, 3)
+    assert b.merge(Bounds()).row() == {"min_x": 0.0, "min_y": 2.0, "max_x": 1.0, "max_y": 5.0}
+
+
+def test_batches_and_texts(spark):
+    chunks = spark.createDataFrame([(0, 5), (1, 5), (2, 9), (3, 1), (4, 10)], "chunk_id long, n_points long")
+    assert [tuple(largest_batch(chunks, n).first()) for n in (1, 2, 3, 9)] == [(4, 10), (0, 10), (0, 19), (0, 30)]
+    assert largest_batch(chunks.limit(0), 3).count() == 0
+    texts = spark.sql("SELECT array(1, 2, null) AS a UNION ALL SELECT array() UNION ALL SELECT null").select(C.array_text("a").alias("t")).collect()
+    assert [r.t for r in texts] == ["[1, 2]", "[]", None]
+    both = spark.range(0, 65536, 257).select("id", C.colour_of(*C.colour_bytes("id")).alias("c")).where("id <> c")
+    assert both.count() == 0
