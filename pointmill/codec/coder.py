@@ -34,12 +34,10 @@ class Symbols:
         scale = (1 << 31) // total
         self.shares = [0, *(scale * c >> 16 for c in accumulate(self.counts[:-1]))]
 
-    def seen(self, s: int) -> None:
-        self.counts[s] += 1
-        self.left -= 1
-        if not self.left:
-            self.rebuild()
-            self.cycle = self.left = min(5 * self.cycle >> 2, 8 * (self.n + 6))
+    def turn(self) -> None:
+        """After a cycle's last symbol."""
+        self.rebuild()
+        self.cycle = self.left = min(5 * self.cycle >> 2, 8 * (self.n + 6))
 
 
 class Bit:
@@ -70,12 +68,8 @@ class Encoder:
     def _take(self, low: int, high: int) -> None:
         """Goes on with the part from low to high of the present range."""
         base = self.base + low
-        if base > WHOLE:  # carry into what is written
-            at = len(self.out) - 1
-            while self.out[at] == 255:
-                self.out[at] = 0
-                at -= 1
-            self.out[at] += 1
+        if base > WHOLE:
+            self._carry()
             base &= WHOLE
         length = high - low
         while length < TOP:
@@ -83,10 +77,32 @@ class Encoder:
             base, length = base << 8 & WHOLE, length << 8
         self.base, self.length = base, length
 
+    def _carry(self) -> None:
+        """Into what is written."""
+        at = len(self.out) - 1
+        while self.out[at] == 255:
+            self.out[at] = 0
+            at -= 1
+        self.out[at] += 1
+
+    # a point takes a dozen symbols: symbol() of both ways does what _take() does, without its call
     def symbol(self, model: Symbols, s: int) -> int:
-        step, shares = self.length >> 15, model.shares
-        self._take(shares[s] * step, shares[s + 1] * step if s + 1 < model.n else self.length)
-        model.seen(s)
+        length, shares = self.length, model.shares
+        step = length >> 15
+        low = shares[s] * step
+        base = self.base + low
+        length = (shares[s + 1] * step if s + 1 < model.n else length) - low
+        if base > WHOLE:
+            self._carry()
+            base &= WHOLE
+        while length < TOP:
+            self.out.append(base >> 24)
+            base, length = base << 8 & WHOLE, length << 8
+        self.base, self.length = base, length
+        model.counts[s] += 1
+        model.left -= 1
+        if not model.left:
+            model.turn()
         return s
 
     def bit(self, model: Bit, bit: int) -> int:
@@ -116,22 +132,33 @@ class Decoder:
     def __init__(self, data: bytes | memoryview):
         if len(data) < 4:
             raise ValueError("a coded stream has four bytes at least")
-        self.data, self.at, self.length = data, 4, WHOLE
+        self.data, self.at, self.size, self.length = data, 4, len(data), WHOLE
         self.value = int.from_bytes(data[:4], "big")
 
     def _take(self, low: int, high: int) -> None:
         value, length = self.value - low, high - low
         while length < TOP:
-            value = value << 8 | (self.data[self.at] if self.at < len(self.data) else 0)
+            value = value << 8 | (self.data[self.at] if self.at < self.size else 0)
             self.at += 1
             length <<= 8
         self.value, self.length = value, length
 
     def symbol(self, model: Symbols, _: int | None = None) -> int:
-        step, shares = self.length >> 15, model.shares
-        s = bisect_right(shares, self.value // step) - 1
-        self._take(shares[s] * step, shares[s + 1] * step if s + 1 < model.n else self.length)
-        model.seen(s)
+        length, shares, value = self.length, model.shares, self.value
+        step = length >> 15
+        s = bisect_right(shares, value // step) - 1
+        low = shares[s] * step
+        value -= low
+        length = (shares[s + 1] * step if s + 1 < model.n else length) - low
+        while length < TOP:
+            value = value << 8 | (self.data[self.at] if self.at < self.size else 0)
+            self.at += 1
+            length <<= 8
+        self.value, self.length = value, length
+        model.counts[s] += 1
+        model.left -= 1
+        if not model.left:
+            model.turn()
         return s
 
     def bit(self, model: Bit, _: int | None = None) -> int:
