@@ -181,3 +181,34 @@ def digest(docs: DataFrame) -> DataFrame:
     proved = prove(leaves(docs))
     out = proved.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), fold("other").alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: The same in SQL for small tables.
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS part, source, lang, n_chars, text,
+         CASE WHEN doc_id IS NOT NULL AND xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+              lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 5 = 0
+              THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other
+  FROM documents),
+h AS (SELECT doc_id, part, sha256(b || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf, sha256(b || coalesce(octet_length(encode(other)) || ':' || other, '-')) AS other
+  FROM (SELECT *, coalesce(length(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+             || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS b FROM d)),
+r AS (SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY part) AS n FROM h),
+low AS (SELECT part, 0 AS lvl, idx, leaf AS node, n FROM r
+  UNION ALL SELECT part, lvl + 1, idx // 16, sha256(string_agg(node, '' ORDER BY idx)), (any_value(n) + 15) // 16 FROM low WHERE n > 1 GROUP BY part, lvl, idx // 16),
+s AS (SELECT part, node AS subroot, row_number() OVER (ORDER BY encode(part)) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1),
+top AS (SELECT 0 AS lvl, idx, subroot AS node, n FROM s
+  UNION ALL SELECT lvl + 1, idx // 16, sha256(string_agg(node, '' ORDER BY idx)), (any_value(n) + 15) // 16 FROM top WHERE n > 1 GROUP BY lvl, idx // 16),
+p AS (SELECT rid, 0 AS tree, l.lvl, l.idx, l.node FROM r JOIN low l ON l.part = r.part AND l.n > 1 AND l.idx // 16 = r.idx // CAST(pow(16, l.lvl + 1) AS BIGINT) AND l.idx <> r.idx // CAST(pow(16, l.lvl) AS BIGINT)
+  UNION ALL SELECT rid, 1, t.lvl, t.idx, t.node FROM r JOIN s ON s.part = r.part JOIN top t ON t.n > 1 AND t.idx // 16 = s.idx // CAST(pow(16, t.lvl + 1) AS BIGINT) AND t.idx <> s.idx // CAST(pow(16, t.lvl) AS BIGINT)),
+q AS (SELECT rid, sha256(string_agg(node, '' ORDER BY tree, lvl, idx)) AS proof FROM p GROUP BY rid),
+f AS (SELECT rid, part, 0 AS lvl, idx, other AS node, n FROM r
+  UNION ALL SELECT f.rid, f.part, f.lvl + 1, f.idx // 16, sha256(string_agg(CASE WHEN l.idx = f.idx THEN f.node ELSE l.node END, '' ORDER BY l.idx)), (any_value(f.n) + 15) // 16
+  FROM f JOIN low l ON l.part = f.part AND l.lvl = f.lvl AND l.idx // 16 = f.idx // 16 WHERE f.n > 1 GROUP BY f.rid, f.part, f.lvl, f.idx),
+g AS (SELECT f.rid, 0 AS lvl, s.idx, f.node, s.n FROM f JOIN s ON s.part = f.part WHERE f.n = 1
+  UNION ALL SELECT g.rid, g.lvl + 1, g.idx // 16, sha256(string_agg(CASE WHEN t.idx = g.idx THEN g.node ELSE t.node END, '' ORDER BY t.idx)), (any_value(g.n) + 15) // 16
+  FROM g JOIN top t ON t.lvl = g.lvl AND t.idx // 16 = g.idx // 16 WHERE g.n > 1 GROUP BY g.rid, g.lvl, g.idx)
+SELECT r.doc_id, r.leaf, s.subroot, top.node AS root, coalesce(q.proof, sha256('')) AS proof_sha256, g.node AS folded_root, g.node = top.node AS verified
+FROM r JOIN s ON s.part = r.part JOIN top ON top.n = 1 JOIN g ON g.rid = r.rid AND g.n = 1 LEFT JOIN q ON q.rid = r.rid
+"""

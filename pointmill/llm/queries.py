@@ -63,4 +63,4 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_score, op2_toxicity_score, op3_bpe_encode, op4_decontaminate_leaks, op5_secret_scan, op6_substring_dedup, op7_line_dedup, op8_simhash_dedup, op9_shard, op10_quality_rules, op11_merkle_manifest, op12_token_alignment, op13_byte_bpe)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES = {"op7_line_dedup": op7_lines.SQL, "op10_quality_rules": op10_quality.SQL}
+ORACLES = {"op7_line_dedup": op7_lines.SQL, "op10_quality_rules": op10_quality.SQL, "op11_merkle_manifest": op11_merkle.SQL}

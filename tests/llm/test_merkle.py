@@ -3,6 +3,8 @@
 import hashlib
 import zlib
 
+import duckdb
+import pyarrow as pa
 import pytest
 
 from pointmill.llm import op11_merkle
@@ -90,3 +92,10 @@ def test_whole_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()]
     assert got(docs) == expected(rows, 16)
+
+
+@pytest.mark.parametrize("rows", [rows_of(300, ["a", None, "é"]) + [(10_000 + i, "T", "en", f"s{i}", 1, None, None) for i in range(20)] + ODD, rows_of(1, ["a"]), []])
+def test_sql(rows):
+    kinds = [("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())]
+    documents = pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(kinds)})  # noqa: F841
+    assert sorted(map(repr, duckdb.sql(op11_merkle.SQL).fetchall())) == (expected(rows, 16) if rows else [])
