@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointmill.llm.common import lower_ascii, written
+from pointmill.llm.common import lower_ascii, remove, written
 
 FANOUT, LEVELS = 16, 3
 #: Characters of a digest as text.
@@ -47,19 +47,21 @@ def leaves(docs: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, part: str, *order: str) -> DataFrame:
-    """df with at, each row's number from 0 within its part by the order given, and n, the part's rows.
+    """df with at, each row's number from 0 within its part by the order given, and n, the part's rows; written.
 
     Rows alike in part and order are spread by their place in the input, so that no task gets all copies of one row.
     """
     keys = [part, *order, "_tie"]
     tied = df.withColumn("_tie", F.monotonically_increasing_id())
-    placed = written(tied.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie").withColumn("_row", F.monotonically_increasing_id()), "placed")
-    placed = placed.withColumn("_task", F.shiftright("_row", 33))
+    table = written(tied.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie").withColumn("_row", F.monotonically_increasing_id()), "placed")
+    placed = table.withColumn("_task", F.shiftright("_row", 33))
     runs = placed.groupBy(part, "_task").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_own"))
     whole = Window.partitionBy(part)
     before = F.sum("_own").over(whole.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
     runs = runs.select(part, "_task", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_own").over(whole).alias("n"))
-    return placed.join(runs, [part, "_task"]).withColumn("at", F.col("_row") + F.col("_shift")).drop("_row", "_task", "_shift")
+    out = written(placed.join(runs, [part, "_task"]).withColumn("at", F.col("_row") + F.col("_shift")).drop("_row", "_task", "_shift"), "numbered")
+    remove(table)
+    return out
 
 
 def _hash(nodes: list[str]) -> str:
@@ -149,11 +151,12 @@ def prove(nodes: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> DataF
     subroot the root. An empty table gives an empty result.
     """
     part = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source")))
-    low = numbered(written(nodes.withColumn("part", part), "leaves"), "part", "doc_id", "leaf").withColumnRenamed("leaf", "node")
-    rounds = _up(written(low, "nodes"), fanout, levels)
+    first = written(nodes.withColumn("part", part), "leaves")  # hashed once, not again for the ranges
+    rounds = _up(numbered(first, "part", "doc_id", "leaf").withColumnRenamed("leaf", "node"), fanout, levels)
+    remove(first)
     subroots = rounds[-1].select("part", F.col("node").alias("subroot"))
     inner = numbered(subroots.withColumn("whole", F.lit("whole")), "whole", "part").select(F.col("whole").alias("part"), "at", F.col("subroot").alias("node"), "n", F.col("part").alias("own"))
-    above = _up(written(inner, "nodes"), fanout, levels)
+    above = _up(inner, fanout, levels)
     root = above[-1].select("part", F.lit("").alias("proof"), F.expr("cast(array() AS array<struct<at: int, of: int>>)").alias("places"), F.lit(None).cast("string").alias("subroot"), F.col("node").alias("root"))
     tops = _down(above, root, fanout, levels).select(F.col("own").alias("part"), "proof", "places", F.col("node").alias("subroot"), "root")
     out = _down(rounds, written(tops, "tops"), fanout, levels)
