@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from pointmill.plans import spatial
+from pointmill.plans import files, spatial
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +28,13 @@ def equal(spark, folder, query, sql):
 def test_sums_beyond_64_bits(spark, many_users):
     """The squares of y in a batch are more than 2^63."""
     assert equal(spark, many_users, spatial.covariance_xyz, spatial.ORACLES["covariance_xyz"])
+
+
+@pytest.mark.parametrize("name", sorted(set(files.QUERIES) - {"foreign_points"}))
+def test_users_beyond_16_bits(spark, many_users, name):
+    assert equal(spark, many_users, files.QUERIES[name], files.ORACLES[name])
+
+
+def test_users_below_zero(spark, tmp_path):
+    duckdb.sql(f"COPY (SELECT * REPLACE (user_id * 100000 - 700000 AS user_id) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    assert equal(spark, str(tmp_path), files.QUERIES["las_roundtrip_pf6"], files.ORACLES["las_roundtrip_pf6"])
