@@ -47,6 +47,29 @@ def test_partitions_are_pruned(las, laz):
     assert few.columns == ["gps_time", "x"] and few.count() == 1000
 
 
+def test_small_chunks_share_partitions(las, tmp_path):
+    """A file of very many chunks has no more partitions than one of few; conditions and lists choose among its chunks as before."""
+    path = write(points(las, SF).orderBy("point_index").coalesce(1), f"{tmp_path}/a.laz", format="1", compressed="true", chunk_size="2")
+    whole = convert.reader(las, path)
+    assert whole.rdd.getNumPartitions() == 250
+    assert sorted(map(tuple, whole.select("point_index", "x", "gps_time").collect())) == sorted(map(tuple, points(las, SF).select("point_index", "x", "gps_time").collect()))
+    few = whole.where("point_index >= 101 AND point_index < 105")
+    assert few.rdd.getNumPartitions() == 3 and sorted(r.point_index for r in few.collect()) == [101, 102, 103, 104]
+    listed = [k * 7 % 500 for k in range(600)]
+    some = convert.reader(las, path, chunk_list=",".join(map(str, listed)))
+    assert some.rdd.getNumPartitions() == 200
+    assert sorted((r.position, r.point_index) for r in some.collect()) == [(2 * k + i, 2 * c + i) for k, c in enumerate(listed) for i in (0, 1)]
+
+
+def test_shared_partitions():
+    """In order, of one file, of CHUNK points at most; a larger one stays alone."""
+    sizes = [(("a", "b")[k >= 700], 20_000 if k % 10 else 200_000) for k in range(1000)]
+    got = source.shared([source.Range(p, 0, k, k + n) for k, (p, n) in enumerate(sizes)])
+    assert [(r.path, r.last - r.first) for g in got for r in g.own] == sizes
+    assert all({r.path for r in g.own} == {g.path} and (len(g.own) == 1 or sum(r.last - r.first for r in g.own) <= source.CHUNK) for g in got)
+    assert max(len(g.own) for g in got) == 2 and [g.own for g in source.shared([])] == [[]]
+
+
 def test_empty_and_bad_writes(las, tmp_path):
     path = f"{tmp_path}/e.laz"
     none = points(las, SF).limit(0)
