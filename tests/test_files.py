@@ -61,6 +61,15 @@ def test_small_chunks_share_partitions(las, tmp_path):
     assert sorted((r.position, r.point_index) for r in some.collect()) == [(2 * k + i, 2 * c + i) for k, c in enumerate(listed) for i in (0, 1)]
 
 
+def test_converted_file_of_small_chunks(las, tmp_path):
+    """A converted file of very many chunks holds the same points and is read by few partitions."""
+    raw, packed = write(points(las, SF).orderBy("point_index").coalesce(1), f"{tmp_path}/a.las", format="1"), f"{tmp_path}/b.laz"
+    convert.convert(las, raw, packed, chunk_size=2)
+    read = convert.reader(las, packed)
+    assert read.rdd.getNumPartitions() <= 256 and convert.reader(las, packed, table="chunks").count() >= 500
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, convert.reader(las, raw).collect()))
+
+
 def test_shared_partitions():
     """In order, of one file, of CHUNK points at most; a larger one stays alone."""
     sizes = [(("a", "b")[k >= 700], 20_000 if k % 10 else 200_000) for k in range(1000)]
